@@ -143,7 +143,8 @@ for _name, _short in NICKNAMES.items():
         _FORMAL.setdefault(_s, set()).add(_name)
 _LEGAL = {a: full for full, short in LEGAL.items() for a in [full, *short.split()]}
 _SECTOR = {a: full for full, short in SECTORS.items() for a in [full, *short.split()]}
-_INITIALS = re.compile(r"\A(?:[^\W\d_]\.?){1,3}\Z")
+#: Initials of an organisation with one of its words, as in ``ABC (Alpha)``.
+_ACRONYM = re.compile(r"\A([A-Z]{2,6}) *\(([^\W\d_]{3,})\)\Z")
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -193,6 +194,10 @@ def _word(token: str, table: str) -> str | None:
     words = _LEGAL if table == "legal" else _SECTOR
     if token in words:
         return words[token]
+    if len(token) >= 4:  # cut off
+        begun = [full for full in (LEGAL if table == "legal" else SECTORS) if full.startswith(token)]
+        if len(begun) == 1:
+            return begun[0]
     if len(token) >= 6:
         for full in LEGAL if table == "legal" else SECTORS:
             if len(full) >= 7 and osa(token, full, 1) <= 1:
@@ -240,6 +245,8 @@ def parse_person(name: str) -> list[dict]:
 def parse_org(name: str) -> list[dict]:
     """Readings of an organisation's name: its own words, what it does, and initials if it is a short form."""
     text = plain(name)
+    if m := _ACRONYM.match(name.strip()):
+        return [{"form": "short", "given": "", "surname": plain(m[2]), "initials": plain(m[1]), "alt": ""}]
     tokens = [t for t in _tokens(text) if t not in CONNECTORS]
     dotted = {r.replace(".", "") for r in re.findall(r"\b(?:\w\.)+(?:\w\b)?", text)}
     sector, core, letters = "", [], ""
@@ -266,7 +273,7 @@ def parse_org(name: str) -> list[dict]:
 
 def is_org(name: str) -> bool:
     """Whether a name has a legal form or a word for what an organisation does."""
-    return any(_LEGAL.get(t) or _SECTOR.get(t) or _word(t, "legal") or _word(t, "sector") for t in _tokens(plain(name))) or bool(re.search(r"[&+]", name))
+    return any(_LEGAL.get(t) or _SECTOR.get(t) or _word(t, "legal") or _word(t, "sector") for t in _tokens(plain(name))) or bool(re.search(r"[&+]", name) or _ACRONYM.match(name.strip()))
 
 
 _PARSED = "id long, scope string, kind string, form string, key string, alt string, given string, surname string, initials string"
@@ -280,7 +287,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, scope, name, etype in zip(*(c.to_pylist() for c in batch.columns)):
             label = etype.strip().lower()
             org = label in ORG_TYPES or (label in EITHER_TYPES and is_org(name))
-            for r in parse_org(name) if org else parse_person(name):
+            readings = parse_org(name) if org else parse_person(name)
+            both = [] if org or label not in EITHER_TYPES else [r | {"org": True} for r in parse_org(name) if r["form"] == "short" and len(r["initials"]) > 1]
+            for r in readings + both:
+                org = r.get("org", org)
                 key = r["surname"].replace(" ", "") if org else f"{r['given']} {r['surname']}"
                 if r["form"] == "short":
                     key = r["surname"]
