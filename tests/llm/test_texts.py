@@ -157,6 +157,40 @@ def test_shared_pairs(spark, monkeypatch, group):
     assert {tuple(r) for r in spans.shared_pairs(df).collect()} == brute_spans(docs)
 
 
+@pytest.mark.parametrize("group", [48, 3])
+def test_coverage(spark, monkeypatch, group):
+    monkeypatch.setattr(spans, "GROUP", group)
+    docs = [(d, t) for d, t in corpus(8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", F.lit(1))
+    seen: dict[str, set] = {}
+    for d, t in docs:
+        for k in range(len(t or "") - 299):
+            seen.setdefault(t[k : k + 300], set()).add(d)
+    want = {}
+    for d, t in docs:
+        hit = np.zeros(len(t or ""), bool)
+        for k in range(len(t or "") - 299):
+            if len(seen[t[k : k + 300]]) > 1:
+                hit[k : k + 300] = True
+        want[d] = int(hit.sum())
+    rows = {r.doc_id: r for r in spans.coverage(df).collect()}
+    assert {d: r.shared_chars for d, r in rows.items()} == want
+    assert rows[207].class_id == rows[0].class_id == (0 if len(docs[0][1]) >= 300 else None)
+    found = spans.passages(df).collect()
+    assert sum(r.length for r in found) == sum(want.values()) and all(r.length >= 300 for r in found)
+
+
+def test_a_third_are_copies(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdef ghé") for _ in range(n))
+    copy = text(900)
+    docs = [(i, copy if i % 3 == 0 else text(400)) for i in range(300)] + [(1000, copy[100:500])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in spans.shared_pairs(df).collect()} == brute_spans(docs)
+    rows = {r.doc_id: r.shared_chars for r in spans.coverage(df).collect()}
+    assert rows[0] == 900 and rows[1000] == 400 and rows[1] == 0
+
+
 def test_shared_pairs_empty(spark):
     df = spark.createDataFrame([(1, "a" * 500)], "doc_id long, text string")
     assert spans.shared_pairs(df).count() == 0 and spans.shared_pairs(df.limit(0)).count() == 0

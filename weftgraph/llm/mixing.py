@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, sized
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pattern that splits a text into the pieces the vocabulary was made for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most blocks of a source.
-BLOCKS = 1024
+#: Most blocks of a source: as many rows of one source are put in order in one task.
+BLOCKS = 16_384
 #: Documents that a block of a source should have; the number of blocks follows, up to BLOCKS.
 BLOCK_DOCS = 64
 #: Sources that targets may name; their rows go to the driver.
@@ -157,7 +157,7 @@ def mix(sized_documents: DataFrame, targets: DataFrame, budget: float | None = N
     before = F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")
     cut = block.withColumn("rest", rest).withColumn("before", before).select("source", "block", "passes", "rest", "before", "n")
     cut = durable(cut, "blocks").withColumn("whole", F.col("before") + F.col("n") <= F.col("rest")).withColumn("open", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-    joined = docs.select("doc_id", "source", "tokens", "block", rank.alias("rank")).join(F.broadcast(cut), ["source", "block"])
+    joined = docs.select("doc_id", "source", "tokens", "block", rank.alias("rank")).join(sized(cut), ["source", "block"])
     easy = joined.where("not open").withColumn("copies", F.col("passes") + F.col("whole").cast("int"))
     run = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = joined.where("open").withColumn("run", run).withColumn("copies", F.col("passes") + (F.col("before") + F.col("run") <= F.col("rest")).cast("int"))

@@ -86,8 +86,18 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_pairs(_table(spark, sf, "documents"))
 
 
+def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of each document that occur in other documents too."""
+    return spans.passages(_table(spark, sf, "documents"))
+
+
+def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document occurs elsewhere."""
+    return spans.coverage(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p9_selection, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_passages, p10_coverage)}
 
 
 _TERMS = """

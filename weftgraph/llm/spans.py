@@ -28,10 +28,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.durable import durable, sized
+from weftgraph.plans.skew import split_join
 
 LEAST = 300
 GEAR = 64
@@ -320,22 +321,84 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
         every = durable(_with_texts(many, documents).mapInArrow(_windows(least), "w1 long, w2 long, doc_id long, start int"), "windows")
         once = every.groupBy("w1", "w2", "doc_id").agg(F.min("start").alias("start"))
         shared = once.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "doc_id").cast("decimal(20,0)")).alias("s2")).where("docs > 1")
-        windows = durable(every.join(shared.withColumn("class", F.xxhash64("docs", "s1", "s2")), ["w1", "w2"]).select("w1", "w2", "class", "docs", "doc_id", "start"), "classes")
+        windows = durable(every.join(shared.withColumn("class", F.struct("docs", "s1", "s2")), ["w1", "w2"]).select("w1", "w2", "class", "docs", "doc_id", "start"), "classes")
     return spans, windows
 
 
+def copies(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc_id, rep, n_chars`` of documents whose whole text another document has too; rep is the smallest id of such a class.
+
+    Texts are compared by 128 bits of digest and their length.  Durable.
+    """
+    text = F.col("text")
+    keyed = documents.where(F.length(text) >= least).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.length(text).alias("n_chars"))
+    keyed = durable(keyed, "keyed")
+    on = ["h1", "h2", "n_chars"]
+    classes = keyed.groupBy(*on).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*on, "rep")
+    return durable(split_join(keyed, classes, on).select("doc_id", "rep", "n_chars"), "copies")
+
+
+def distinct_texts(documents: DataFrame, same: DataFrame) -> DataFrame:
+    """Documents without those that only repeat another's text."""
+    extra = same.where("doc_id <> rep").select("doc_id")
+    return documents.join(sized(extra), "doc_id", "left_anti")
+
+
+def _class_pairs(windows: DataFrame) -> DataFrame:
+    """Pairs of the documents of each class of windows; of windows with the same documents one is used."""
+    one = windows.groupBy("class").agg(F.min(F.struct("w1", "w2")).alias("w"))
+    members = durable(windows.join(one, "class").where("w1 = w.w1 and w2 = w.w2").select("class", "doc_id").distinct(), "members")
+    a, b = members.select("class", F.col("doc_id").alias("doc_id_a")), members.select("class", F.col("doc_id").alias("doc_id_b"))
+    return a.join(b, "class").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+
+
 def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id_a, doc_id_b``, a < b, distinct: documents that share at least ``least`` consecutive characters.
 
-    Of the windows that many documents hold, those with the same set of documents give
-    their pairs once.
+    Whole-text copies are set aside first, so the search sees every text once; the pairs
+    found are then given to the copies too, as each pair of documents is a row of the result.
     """
-    spans, windows = shared_spans(documents, least)
+    same = copies(documents, least)
+    spans, windows = shared_spans(distinct_texts(documents, same), least)
     pairs = spans.select("doc_id_a", "doc_id_b")
     if "w1" in windows.columns:
-        one = windows.groupBy("class").agg(F.min(F.struct("w1", "w2")).alias("w"))
-        members = windows.join(one, "class").where("w1 = w.w1 and w2 = w.w2").select("class", "doc_id").distinct()
-        members = durable(members, "members")
-        a, b = members.select("class", F.col("doc_id").alias("doc_id_a")), members.select("class", F.col("doc_id").alias("doc_id_b"))
-        pairs = pairs.unionByName(a.join(b, "class").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b"))
-    return pairs.distinct()
+        pairs = pairs.unionByName(_class_pairs(windows))
+    pairs = pairs.distinct()
+    if same.isEmpty():
+        return pairs
+    pairs = durable(pairs, "pairs")
+    a, b = same.select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("a")), same.select(F.col("rep").alias("doc_id_b"), F.col("doc_id").alias("b"))
+    wide = pairs.join(a, "doc_id_a", "left").join(b, "doc_id_b", "left").select(F.coalesce("a", "doc_id_a").alias("a"), F.coalesce("b", "doc_id_b").alias("b"))
+    own = a.join(b, F.col("doc_id_a") == F.col("doc_id_b")).where("a < b").select("a", "b")
+    return wide.unionByName(own).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
+
+
+def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc_id, start, length``: the maximal stretches of each document that lie in spans it shares with another.
+
+    Positions count code points from 0.  The work is linear in the texts however large a
+    group of copies is: no pairs of a group are formed beyond ``GROUP`` occurrences.
+    """
+    same = copies(documents, least)
+    spans, windows = shared_spans(distinct_texts(documents, same), least)
+    rows = spans.select(F.inline(F.array(F.struct(F.col("doc_id_a").alias("doc_id"), F.col("start_a").alias("start"), "length"), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("start_b").alias("start"), "length"))))
+    if "w1" in windows.columns:
+        rows = rows.unionByName(windows.select("doc_id", "start", F.lit(least).alias("length")))
+    whole = same.select("doc_id", F.lit(0).alias("start"), F.col("n_chars").alias("length"))
+    rows = rows.unionByName(whole).distinct()
+    order = Window.partitionBy("doc_id").orderBy("start", "length")
+    reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = rows.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("doc_id", "_k").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("_end")).select("doc_id", "start", (F.col("_end") - F.col("start")).alias("length"))
+
+
+def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc_id, n_chars, passages, shared_chars, class_id``: one row per document, how much of it occurs elsewhere.
+
+    class_id is the smallest id among the documents with the very same text, where there are several.
+    Null texts count as empty.
+    """
+    same = copies(documents, least).select("doc_id", F.col("rep").alias("class_id"))
+    found = passages(documents, least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("length").cast("long").alias("shared_chars"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return rows.join(found, "doc_id", "left").join(same, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), "class_id")
