@@ -129,6 +129,24 @@ def json_int(props: Column, path: str) -> Column:
     return json_text(props, path).try_cast("long")
 
 
+def json_fields(props: Column) -> Column:
+    """Fields of a JSON object by name, with their values as they are; none for null, invalid JSON and what is no object."""
+    kind = "map<string,variant>"
+    return F.coalesce(F.from_json(props, kind), F.from_json(F.lit("{}"), kind))
+
+
+def with_field(props: Column, name: str, value: Column) -> Column:
+    """JSON with a field set to ``value``, which is JSON text itself; what is no object becomes one."""
+    others = F.map_filter(json_fields(props), lambda k, _: k != name)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(name), F.parse_json(value))))
+
+
+def without_field(props: Column, name: str) -> Column:
+    """JSON without a field; null and what is no object stay as they are."""
+    kept = F.map_filter(F.from_json(props, "map<string,variant>"), lambda k, _: k != name)
+    return F.coalesce(F.to_json(kept), props)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of the same length in double precision; lengths below 1e-9 count as 1e-9."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from weftgraph import patterns as P
 from weftgraph.functions import text as T
 from weftgraph.functions.paths import base_name, suffix
-from weftgraph.operators import extract, link, read, render, resolve, search
+from weftgraph.operators import extract, link, read, render, resolve, search, write
 from weftgraph.plans.durable import durable
 from weftgraph.sources import files
+from weftgraph.sources.store import Graph
 from weftgraph.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,8 +152,8 @@ def entities_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SEEN = f"""live AS (SELECT *, TRY_CAST({_json('shared')} AS DOUBLE) AS weight FROM edg WHERE src_id IS NOT NULL AND dst_id IS NOT NULL),
-seen AS (SELECT workspace, id AS edge_id, src_id AS entity_id, dst_id AS other_id, edge_type AS relation, weight, confidence FROM live
-  UNION ALL SELECT workspace, id, dst_id, src_id, edge_type, weight, confidence FROM live WHERE src_id <> dst_id)"""
+seen AS (SELECT workspace, id AS edge_id, src_id AS entity_id, dst_id AS other_id, edge_type AS relation, weight, confidence, true AS fwd FROM live
+  UNION ALL SELECT workspace, id, dst_id, src_id, edge_type, weight, confidence, false FROM live WHERE src_id <> dst_id)"""
 _STRENGTH = "coalesce(nullif(weight, 0), nullif(confidence, 0), 0)"
 
 
@@ -167,7 +168,7 @@ _BUSY = "(SELECT name FROM edg JOIN ent ON ent.id IN (src_id, dst_id) WHERE edge
 
 
 @query(f"""WITH {_ENT}, {_EDG}, {_SEEN} SELECT s.workspace, o.name AS entity, o.etype AS type, relation, weight, confidence
-FROM seen s JOIN ent o ON o.id = other_id JOIN ent e ON e.id = entity_id WHERE relation = 'co_occurs' AND e.name = {_BUSY}
+FROM seen s JOIN ent o ON o.id = other_id JOIN ent e ON e.id = entity_id WHERE relation = 'co_occurs' AND e.name = {_BUSY} AND (fwd OR o.name IS DISTINCT FROM {_BUSY})
 ORDER BY {_STRENGTH} DESC, entity, relation, edge_id LIMIT 50""")
 def neighbors_named(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of the name with most co-occurrences."""
@@ -594,6 +595,97 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     return render.to_json(rows).select(F.from_json("value", "id long, workspace string, name string, etype string").alias("r")).select("r.*")
 
 
+# ---- writing ----
+
+
+def _graph(spark: SparkSession, sf: str, *names: str) -> Graph:
+    return Graph(spark).with_tables(**{n: _table(spark, sf, n).distinct() for n in names})
+
+
+_LATE = "late AS (SELECT workspace, name, etype, props, (min(struct_pack(a := arrived_at, i := id))).i AS id FROM (SELECT l.*, max(struct_pack(a := arrived_at, i := -id)) OVER (PARTITION BY workspace, name, etype) AS last FROM (SELECT DISTINCT * FROM late_entities) l) WHERE struct_pack(a := arrived_at, i := -id) = last GROUP BY ALL)"
+
+
+@query(f"""WITH {_ENT}, {_LATE}, old AS (SELECT workspace, name, etype, min(id) AS id FROM ent GROUP BY ALL)
+SELECT id, workspace, name, etype FROM ent WHERE NOT EXISTS (SELECT 1 FROM late l WHERE l.workspace IS NOT DISTINCT FROM ent.workspace AND l.name IS NOT DISTINCT FROM ent.name AND l.etype IS NOT DISTINCT FROM ent.etype)
+UNION ALL SELECT coalesce(o.id, l.id), l.workspace, l.name, l.etype FROM late l LEFT JOIN old o ON l.workspace IS NOT DISTINCT FROM o.workspace AND l.name IS NOT DISTINCT FROM o.name AND l.etype IS NOT DISTINCT FROM o.etype""")
+def upserted_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities with the late ones upserted by workspace, name and type; known ones keep their id."""
+    entities, late = _tables(spark, sf, "entities", "late_entities")
+    out = write.upsert(entities.distinct(), late.distinct(), ["workspace", "name", "etype"], keep=["id"], order=[F.col("arrived_at"), -F.col("id")])
+    return out.select("id", "workspace", "name", "etype")
+
+
+@query("""WITH names AS (SELECT DISTINCT workspace AS name FROM artifacts UNION SELECT DISTINCT 'new-' || workspace FROM chunks)
+SELECT DISTINCT name FROM workspaces UNION SELECT name FROM names""")
+def inserted_workspaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Workspaces with those added that artifacts and chunks name and that are not there yet."""
+    have = _table(spark, sf, "workspaces").select("name").distinct()
+    more = _table(spark, sf, "artifacts").select(F.col("workspace").alias("name")).unionByName(_table(spark, sf, "chunks").select(F.concat(F.lit("new-"), "workspace").alias("name")))
+    return write.insert_new(have, more, ["name"])
+
+
+@query(f"""WITH {_ENT}, {_EDG}, gone AS (SELECT id FROM ent WHERE {_json('origin')} = 'salient')
+SELECT id, src_id, dst_id, edge_type FROM edg WHERE coalesce(src_id NOT IN (SELECT id FROM gone), true) AND coalesce(dst_id NOT IN (SELECT id FROM gone), true)""")
+def cleared_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges that stay when all entities of one origin go."""
+    graph = _graph(spark, sf, "entities", "mentions", "edges")
+    ids = graph["entities"].where(T.json_text(F.col("props"), "$.origin") == "salient").select("id")
+    return write.remove_entities(graph, ids)["edges"].select("id", "src_id", "dst_id", "edge_type")
+
+
+@query(f"""WITH {_ENT}, p AS (SELECT *, coalesce({_json('provisional')} IN ('true', '1'), false) AS prov FROM ent),
+types AS (SELECT DISTINCT workspace, name, CASE WHEN len(name) % 3 = 0 THEN 'drop' ELSE 'checked' END AS t FROM p WHERE prov AND name IS NOT NULL),
+typed AS (SELECT p.id, p.workspace, p.name, p.etype, CASE WHEN prov THEN t END AS t FROM p LEFT JOIN types USING (workspace, name)),
+out AS (SELECT id, workspace, name, coalesce(t, etype) AS etype, t IS NOT NULL AS done FROM typed WHERE t IS NULL OR t <> 'drop')
+SELECT id, workspace, name, etype FROM out QUALIFY NOT done OR row_number() OVER (PARTITION BY workspace, name, etype ORDER BY done, id) = 1""")
+def classified_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Provisional entities typed or dropped, those of equal names folded."""
+    graph = _graph(spark, sf, "entities", "mentions", "edges")
+    types = graph["entities"].where(read.is_provisional(F.col("props")) & F.col("name").isNotNull()).select("workspace", "name", F.when(F.length("name") % 3 == 0, "drop").otherwise("checked").alias("type")).distinct()
+    return write.classify(graph, types)["entities"].select("id", "workspace", "name", "etype")
+
+
+_BEST = f"best AS (SELECT workspace, name, (max(struct_pack(c := coalesce(TRY_CAST({_json('count')} AS DOUBLE), 0), i := -id, id := id))).id AS id FROM ent WHERE name IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""WITH {_ENT}, {_EDG}, {_BEST} SELECT edg.workspace, x.id AS src_id, y.id AS dst_id, 'related' AS edge_type, 0.8::DOUBLE AS confidence, 0 AS asserted
+FROM edg JOIN ent s ON s.id = src_id JOIN ent d ON d.id = dst_id JOIN best x ON x.workspace = edg.workspace AND x.name = s.name JOIN best y ON y.workspace = edg.workspace AND y.name = d.name WHERE edg.edge_type = 'references'""")
+def claimed_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """References told again by the names of their ends, as claims that are not asserted."""
+    graph = _graph(spark, sf, "entities", "edges")
+    ent = graph["entities"].select("id", "name")
+    rows = graph["edges"].where("edge_type = 'references'").join(ent.toDF("src_id", "src"), "src_id").join(ent.toDF("dst_id", "dst"), "dst_id")
+    rows = rows.select("workspace", "src", "dst", F.lit("related").alias("relation"), F.lit(None).cast("string").alias("props"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("asserted"))
+    made, _ = write.add_relations(graph, rows)
+    return made["edges"].where("edge_type = 'related'").select("workspace", "src_id", "dst_id", "edge_type", "confidence", "asserted")
+
+
+@query(f"""WITH {_ART}, w AS (SELECT workspace, replace(path, chr(92), '/') AS path, id, lens FROM art)
+SELECT id, CASE WHEN starts_with(path, '/srv/' || workspace || '/a-service/') AND workspace = (SELECT min(name) FROM workspaces) THEN 'code' ELSE lens END AS lens,
+  CASE WHEN starts_with(path, '/srv/' || workspace || '/a-service/') AND workspace = (SELECT min(name) FROM workspaces) THEN 'primary' END AS provenance FROM w""")
+def stamped_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    first = _table(spark, sf, "workspaces").agg(F.min("name")).first()[0]
+    arts = read.current_artifacts(_table(spark, sf, "artifacts")).withColumn("path", F.translate("path", "\\", "/"))
+    return write.stamp(arts, first, f"/srv/{first}/a-service", "code", "primary").select("id", "lens", T.json_text(F.col("props"), "$.provenance").alias("provenance"))
+
+
+@query(f"""WITH {_ART}, {_CHU} SELECT c.id, CASE WHEN c.kind = 'page' THEN a.path ELSE '/other/' || c.id || '.md' END AS path, CASE WHEN c.kind = 'page' THEN TRY_CAST(substr(c.name, 2) AS INTEGER) END AS page FROM chu c JOIN art a ON a.id = c.artifact_id""")
+def derived_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as files derived from their artifacts; pages are cited by the original path and page."""
+    rows = read.located(*_tables(spark, sf, "chunks", "artifacts"))
+    derived = rows.where("kind = 'page'").select(F.concat(F.lit("/derived/"), "id", F.lit(".md")).alias("derived_path"), F.col("path").alias("orig_path"), T.page_of(F.col("name")).alias("page"))
+    hits = rows.select("id", F.concat(F.when(F.col("kind") == "page", F.lit("/derived/")).otherwise(F.lit("/other/")), "id", F.lit(".md")).alias("path"))
+    return read.original_place(hits, derived).select("id", "path", "page")
+
+
+@query(f"""WITH {_ART}, s AS (SELECT id, lower(regexp_extract(string_split(replace(path, chr(92), '/'), '/')[-1], '.(\\.[^.]*)$', 1)) AS x FROM art)
+SELECT id, CASE WHEN x IN ('.py', '.ts', '.tsx', '.js', '.jsx', '.rs', '.go', '.java', '.rb') THEN 'code' WHEN x IN ('.json', '.yaml', '.yml') THEN 'spec' WHEN x IN ('.md', '.markdown', '.rst', '.txt') THEN 'docs' WHEN x = '.pdf' THEN 'pdf' END AS kind FROM s""")
+def source_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Which kind of source takes each artifact's file, if its text began like a specification."""
+    arts = read.current_artifacts(_table(spark, sf, "artifacts"))
+    return arts.select("id", files.kind_of_path(F.col("path"), F.lit("openapi: 3.0.0")).alias("kind"))
+
+
 # ---- streams ----
 
 

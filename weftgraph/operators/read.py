@@ -141,14 +141,16 @@ def list_entities(entities: DataFrame, etype: str | None = None, limit: int = 10
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """Edges with both ends, seen from each end: ``workspace, edge_id, entity_id, other_id, relation, weight, confidence, first_page``.
+    """Edges with both ends, seen from each end: ``workspace, edge_id, entity_id, other_id, forward, relation, weight, confidence, first_page``.
 
-    A loop is seen once.
+    forward is true seen from the source.  A loop is seen once.
     """
     number = lambda f: T.json_number(F.col("props"), f"$.{f}")
     rows = edges.where("src_id is not null and dst_id is not null").select("id", "workspace", "src_id", "dst_id", "edge_type", "confidence", "props").distinct()
     rows = rows.select(F.col("id").alias("edge_id"), "workspace", "src_id", "dst_id", F.col("edge_type").alias("relation"), number("shared").alias("weight"), F.nanvl("confidence", F.lit(None).cast("double")).alias("confidence"), T.json_int(F.col("props"), "$.first_page").alias("first_page"))
-    ends = F.array_distinct(F.array(F.struct(F.col("src_id").alias("entity_id"), F.col("dst_id").alias("other_id")), F.struct(F.col("dst_id").alias("entity_id"), F.col("src_id").alias("other_id"))))
+    there = F.struct(F.col("src_id").alias("entity_id"), F.col("dst_id").alias("other_id"), F.lit(True).alias("forward"))
+    back = F.struct(F.col("dst_id").alias("entity_id"), F.col("src_id").alias("other_id"), F.lit(False).alias("forward"))
+    ends = F.when(F.col("src_id") == F.col("dst_id"), F.array(there)).otherwise(F.array(there, back))
     return rows.select("workspace", "edge_id", "relation", "weight", "confidence", "first_page", F.inline(ends))
 
 
@@ -159,7 +161,8 @@ def _strength() -> Column:
 def neighbors(edges: DataFrame, entities: DataFrame, name: str, workspace: str | None = None, relation: str | None = None, etype: str | None = None, limit: int = 50) -> DataFrame:
     """``workspace, entity, type, relation, weight, confidence, first_page``: what the entities of a name are linked to, strongest first.
 
-    Strength is the weight, else the confidence, else 0 (0 counts as none).  The name's
+    Strength is the weight, else the confidence, else 0 (0 counts as none).  An edge
+    between two entities of the name is listed once, with its destination.  The name's
     ids, a handful, are broadcast, so edges are scanned once and not shuffled.
     """
     ent = entities.select("id", "name", "etype").distinct()
@@ -167,7 +170,9 @@ def neighbors(edges: DataFrame, entities: DataFrame, name: str, workspace: str |
     rows = scoped(directed(edges), workspace)
     if relation is not None:
         rows = rows.where(F.col("relation") == relation)
-    out = rows.join(ids, "entity_id", "left_semi").join(ent.toDF("other_id", "entity", "type"), "other_id")
+    both = ids.select(F.col("entity_id").alias("other_id"), F.lit(True).alias("_same"))
+    mine = rows.join(ids, "entity_id", "left_semi").join(both, "other_id", "left").where(F.col("forward") | F.col("_same").isNull())
+    out = mine.join(ent.toDF("other_id", "entity", "type"), "other_id")
     if etype is not None:
         out = out.where(F.col("type") == etype)
     return out.orderBy(_strength().desc(), "entity", "relation", "edge_id").limit(limit).select("workspace", "entity", "type", "relation", "weight", "confidence", "first_page")

@@ -29,7 +29,7 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) ->
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Sequence[Column] = ()) -> DataFrame:
-    """Rows of both, where a key of ``incoming`` replaces the row of ``existing`` except for the columns ``keep``.
+    """Rows of both, where a key of ``incoming`` replaces the rows of ``existing`` except for the columns ``keep`` (of several the smallest).
 
     Of several incoming rows of a key the last in ``order`` counts (any, without an order).
     """
@@ -40,7 +40,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep:
         fresh = incoming.dropDuplicates(list(keys))
     same = _all_equal(keys)
     if keep:
-        old = existing.dropDuplicates(list(keys)).select(*keys, *[F.col(c).alias(f"_{c}") for c in keep]).alias("o")
+        old = existing.groupBy(*keys).agg(F.min(F.struct(*keep)).alias("_old")).select(*keys, *[F.col(f"_old.{c}").alias(f"_{c}") for c in keep]).alias("o")
         fresh = fresh.alias("n").join(old, same, "left").select(*[(F.coalesce(F.col(f"_{c}"), F.col(f"n.{c}")) if c in keep else F.col(f"n.{c}")).alias(c) for c in incoming.columns])
     rest = existing.alias("n").join(fresh.select(*keys).alias("o"), same, "left_anti")
     return rest.unionByName(fresh, allowMissingColumns=True).select(*existing.columns)
@@ -112,8 +112,7 @@ def stamp(artifacts: DataFrame, workspace: str, root: str, lens: str | None, pro
     """Artifacts below ``root`` with lens and provenance set.  A sibling that only shares the root's letters is not below it."""
     base = root.rstrip("/")
     below = (F.col("workspace") == workspace) & ((F.col("path") == base) | F.startswith("path", F.lit(base + "/")))
-    props = F.from_json(F.coalesce("props", F.lit("{}")), "map<string,string>")
-    with_it = F.to_json(F.map_concat(F.map_filter(F.coalesce(props, F.create_map().cast("map<string,string>")), lambda k, _: k != "provenance"), F.create_map(F.lit("provenance"), F.lit(provenance))))
+    with_it = T.with_field(F.col("props"), "provenance", F.lit(f'"{provenance}"'))
     out = artifacts.withColumn("props", F.when(below, with_it).otherwise(F.col("props")))
     return out if lens is None else out.withColumn("lens", F.when(below, F.lit(lens)).otherwise(F.col("lens")))
 
@@ -128,12 +127,6 @@ def clear_synthesized(graph: Graph, workspace: str | None = None) -> Graph:
     return graph.with_tables(artifacts=without_ids(graph["artifacts"], ids), chunks=without_ids(graph["chunks"], gone), mentions=without_ids(graph["mentions"], gone, "chunk_id"))
 
 
-def without_field(props: Column, field: str) -> Column:
-    """JSON text of props without one field; values are kept as JSON."""
-    kept = F.map_filter(F.from_json(props, "map<string,string>"), lambda k, _: k != field)
-    return F.when(F.try_parse_json(props).isNotNull() & kept.isNotNull(), F.to_json(kept)).otherwise(props)
-
-
 def classify(graph: Graph, types: DataFrame) -> Graph:
     """Give provisional entities their type, or drop them.
 
@@ -145,7 +138,7 @@ def classify(graph: Graph, types: DataFrame) -> Graph:
     marked = graph["entities"].join(said, ["workspace", "name"], "left").withColumn("_type", F.when(is_provisional(F.col("props")), F.col("_type")))
     dropped = marked.where("_type = 'drop'").select("id")
     kept = marked.where("_type is null or _type <> 'drop'")
-    typed = kept.withColumn("props", F.when(F.col("_type").isNotNull(), without_field(F.col("props"), "provisional")).otherwise(F.col("props"))).withColumn("etype", F.coalesce("_type", "etype"))
+    typed = kept.withColumn("props", F.when(F.col("_type").isNotNull(), T.without_field(F.col("props"), "provisional")).otherwise(F.col("props"))).withColumn("etype", F.coalesce("_type", "etype"))
     graph = remove_entities(graph, dropped).with_tables(entities=typed)
     order = Window.partitionBy("workspace", "name", "etype").orderBy(F.col("_type").isNotNull(), "id")
     clash = typed.withColumn("_first", F.first("id").over(order)).where("id <> _first").select(F.col("id").alias("old_id"), F.col("_first").alias("new_id"))
@@ -157,9 +150,9 @@ def add_entities(graph: Graph, rows: DataFrame) -> Graph:
 
     Each listed chunk gets a mention, each time.
     """
-    props = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    full = F.when(F.map_contains_key(props, "origin"), props).otherwise(F.map_concat(props, F.create_map(F.lit("origin"), F.lit("extracted"))))
-    new = rows.withColumn("props", F.to_json(full)).withColumn("id", entity_id(F.col("workspace"), F.col("name"), F.col("etype")))
+    has_origin = F.map_contains_key(T.json_fields(F.col("props")), "origin")
+    full = F.when(has_origin, F.col("props")).otherwise(T.with_field(F.col("props"), "origin", F.lit('"extracted"')))
+    new = rows.withColumn("props", full).withColumn("id", entity_id(F.col("workspace"), F.col("name"), F.col("etype")))
     entities = upsert(graph["entities"], conform(new, "entities"), KEYS["entities"], keep=["id"])
     ids = entities.select("workspace", "name", "etype", F.col("id").alias("entity_id"))
     said = new.select("workspace", "name", "etype", F.explode("chunk_ids").alias("chunk_id")).join(ids, ["workspace", "name", "etype"])
@@ -195,13 +188,13 @@ def fuse(graph: Graph, merges: DataFrame) -> Graph:
     Edges are neither made distinct nor freed of loops, counts are not added up.
     """
     entities = graph["entities"]
-    aliases = F.from_json(F.to_json(F.try_variant_get(F.try_parse_json("props"), "$.aliases", "array<string>")), "array<string>")
+    none = F.array().cast("array<string>")
+    aliases = F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.aliases", "array<string>"), none)
     gone = merges.join(entities.select(F.col("id").alias("old_id"), "name", aliases.alias("aliases")), "old_id")
-    more = gone.groupBy(F.col("new_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("_more"))
-    rest = without_ids(entities, merges.select(F.col("old_id").alias("id"))).join(more, "id", "left").withColumn("_all", F.array_sort(F.array_union(F.coalesce(aliases, F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))))
-    fields = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    props = F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "aliases"), F.create_map(F.lit("aliases"), F.to_json("_all"))))
-    folded = rest.withColumn("props", F.when(F.col("_more").isNotNull(), F.regexp_replace(F.regexp_replace(F.regexp_replace(props, r'"aliases":"\[(.*?)\]"', r'"aliases":[$1]'), r'\\\\"', '"'), r'\\"', '"')).otherwise(F.col("props")))
+    more = gone.groupBy(F.col("new_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), "aliases")))).alias("_more"))
+    rest = without_ids(entities, merges.select(F.col("old_id").alias("id"))).join(more, "id", "left")
+    every = F.to_json(F.array_sort(F.array_union(aliases, "_more")))
+    folded = rest.withColumn("props", F.when(F.col("_more").isNotNull(), T.with_field(F.col("props"), "aliases", every)).otherwise(F.col("props")))
     edges = repoint(repoint(graph["edges"], merges, "src_id"), merges, "dst_id")
     return graph.with_tables(entities=folded, mentions=repoint(graph["mentions"], merges, "entity_id"), edges=edges)
 
