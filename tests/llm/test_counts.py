@@ -78,6 +78,16 @@ def test_baskets(spark, block):
     assert baskets.frequent_pairs(df.limit(0)).count() == 0
 
 
+def test_one_basket_holds_a_third(spark):
+    rng = random.Random(6)
+    rows = [("u", b, rng.randrange(400)) for b in range(200) for _ in range(4)] + [("u", b, i) for b in range(300, 306) for i in range(0, 30)]
+    rows += [("u", 1000, i) for i in range(400)] + [("v", 1, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "scope string, basket long, item long")
+    for min_count in (2, 5):
+        got = {tuple(r) for r in baskets.frequent_pairs(df, min_count, 1, 40).select("scope", "a", "b", "n_ab", "n_a", "n_b", "n").collect()}
+        assert got == brute_pairs(rows, min_count, 1)
+
+
 def brute_groups(edges):
     parent = {}
 

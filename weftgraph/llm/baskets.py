@@ -7,8 +7,12 @@
    ``n * min_lift > N`` fails the second.  Both follow from the conditions; no pair is lost.
 3. Baskets become sorted arrays, equal arrays of a scope collapse into one with a weight.
 4. Each distinct array yields its pairs once; weights are summed per pair, partly before
-   the shuffle.  A basket with more than ``block`` items is cut into blocks and each pair
-   of blocks is a task's work of its own.
+   the shuffle.
+5. Baskets with more than ``block`` items (what is left of them) are not paired up.  With
+   ``h`` of them in a scope they add at most ``h`` to a pair, so a pair of other baskets with
+   ``n + h >= min_count`` is a candidate, and the large baskets that hold both its items
+   are counted by joins.  A pair that only large baskets hold needs ``min_count`` of them:
+   only items in as many are paired there, block by block, so that no task gets a basket.
 """
 
 from __future__ import annotations
@@ -51,11 +55,10 @@ def frequent_pairs(rows: DataFrame, min_count: int = 5, min_lift: int = 8, block
     small = kept if n_big == 0 else kept.join(sized(big, n_big), ["scope", "basket"], "left_anti")
     arrays = small.groupBy("scope", "basket").agg(F.sort_array(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
     weighted = arrays.groupBy("scope", "items").agg(F.count(F.lit(1)).alias("weight"))
-    pairs = weighted.select("scope", "weight", F.inline(_pairs("items")))
+    counted = weighted.select("scope", "weight", F.inline(_pairs("items"))).groupBy("scope", "a", "b").agg(F.sum("weight").alias("n_ab"))
     if n_big:
-        pairs = pairs.unionByName(_big_pairs(kept.join(sized(big, n_big), ["scope", "basket"]), block))
-
-    counted = pairs.groupBy("scope", "a", "b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count)
+        counted = _with_large(counted, durable(kept.join(sized(big, n_big), ["scope", "basket"]), "large"), min_count, block)
+    counted = counted.where(F.col("n_ab") >= min_count)
     one = good.select("scope", F.col("item").alias("a"), F.col("n_item").alias("n_a"), "n")
     two = good.select("scope", F.col("item").alias("b"), F.col("n_item").alias("n_b"))
     scored = counted.join(one, ["scope", "a"]).join(two, ["scope", "b"]).where(F.col("n_ab") * F.col("n") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
@@ -67,6 +70,24 @@ def frequent_pairs(rows: DataFrame, min_count: int = 5, min_lift: int = 8, block
     )
 
 
+def _with_large(counted: DataFrame, large: DataFrame, min_count: int, block: int) -> DataFrame:
+    """Counts of pairs in small baskets, ``scope, a, b, n_ab``, with those of large ones (``scope, basket, item, k``) added.
+
+    Pairs that cannot reach ``min_count`` may be missing.
+    """
+    have = large.select("scope", "basket").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("h"))
+    candidates = durable(counted.join(sized(have), "scope", "left").where(F.col("n_ab") + F.coalesce("h", F.lit(0)) >= min_count), "candidates")
+    first, second = large.select("scope", "basket", F.col("item").alias("a")), large.select("scope", "basket", F.col("item").alias("b"))
+    more = candidates.where("h is not null").select("scope", "a", "b").join(first, ["scope", "a"]).join(second, ["scope", "basket", "b"], "left_semi").groupBy("scope", "a", "b").agg(F.count(F.lit(1)).alias("more"))
+    known = candidates.join(more, ["scope", "a", "b"], "left").select("scope", "a", "b", (F.col("n_ab") + F.coalesce("more", F.lit(0))).alias("n_ab"))
+    often = durable(large.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("scope", "item"), "often")
+    if often.isEmpty():
+        return known
+    rest = large.join(often, ["scope", "item"], "left_semi")
+    only = _big_pairs(rest, block).groupBy("scope", "a", "b").agg(F.sum("weight").alias("n_ab")).join(candidates, ["scope", "a", "b"], "left_anti")
+    return known.unionByName(only)
+
+
 def _big_pairs(rows: DataFrame, block: int) -> DataFrame:
     """Pairs of baskets too large for one array: ``scope, weight, a, b``.
 
