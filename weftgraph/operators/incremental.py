@@ -77,7 +77,7 @@ def pending(artifacts: DataFrame, run_items: DataFrame, runs: DataFrame, upper:
     last = seen.groupBy("workspace", "path").agg(F.max("seq").alias("last_seq"))
     now = current_versions(artifacts).withColumn("_path", same_path(F.col("path"))).withColumn("_sha", F.lower("sha"))
     named = last.select(F.col("workspace").alias("w1"), F.col("path").alias("p1"), "last_seq")
-    by_sha = seen.where("sha is not null").select(F.col("workspace").alias("w2"), F.col("path").alias("p2"), F.col("sha").alias("s2"), "seq")
+    by_sha = seen.select(F.col("workspace").alias("w2"), F.col("path").alias("p2"), F.col("sha").alias("s2"), "seq")
     joined = now.join(named, (F.col("workspace") == F.col("w1")) & (F.col("_path") == F.col("p1")), "left").join(
         by_sha, (F.col("workspace") == F.col("w2")) & (F.col("_path") == F.col("p2")) & (F.col("_sha") == F.col("s2")), "left"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.operators.read import located, scoped
+from weftgraph.operators.read import located, original_place, scoped
 from weftgraph.operators.resolve import keep_top
 
 
@@ -70,3 +70,24 @@ def per_root(hits: DataFrame, k: int) -> DataFrame:
     """The ``k`` best hits of each root, then of all: ``hits`` has ``query_id, root, id, score``."""
     own = Window.partitionBy("query_id", "root").orderBy(F.col("score").desc(), F.col("id").asc())
     return keep_top(hits.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= k).drop("_n"), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
+
+
+def hybrid_search(chunks: DataFrame, artifacts: DataFrame, derived: DataFrame, query: str, k: int = 8, workspace: str | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """The ``k`` best chunks for a text: ``workspace, id, kind, name, start_line, end_line, path, page, artifact_kind, preview, score, retriever``.
+
+    Rankings by BM25 and, where chunk vectors (``id, vector``) and the query's vector are
+    given, by cosine are fused.  Without any hit the keyword search answers, with score
+    null.  What was derived from a paged file is cited by that file and page.
+    """
+    rows = scoped(chunks, workspace)
+    asked = chunks.sparkSession.createDataFrame([(0, query, query_vector)], "query_id long, text string, vector array<double>")
+    legs = [bm25(rows.dropDuplicates(["id"]).select("id", F.concat_ws(" ", "name", "text").alias("text")), asked, 4 * k)]
+    if vectors is not None and query_vector is not None:
+        legs.append(vector_ranking(vectors.join(rows.select("id").distinct(), "id", "left_semi"), asked, 4 * k))
+    best = fuse_rankings(legs, k).select("id", "score")
+    columns = ["workspace", "id", "kind", "name", "start_line", "end_line", "path", "artifact_kind", "preview"]
+    hits = located(rows.join(F.broadcast(best.select("id")), "id", "left_semi"), artifacts).join(F.broadcast(best), "id")
+    found = hits.select("workspace", "id", "kind", "name", "start_line", "end_line", "path", "artifact_kind", F.substring("text", 1, 600).alias("preview"), "score", F.lit("hybrid").alias("retriever"))
+    if best.isEmpty():
+        found = keyword_search(chunks, artifacts, query, k, workspace).select(*columns, F.lit(None).cast("double").alias("score"), F.lit("keyword").alias("retriever"))
+    return original_place(found, derived).orderBy(F.col("score").desc_nulls_last(), "id")
