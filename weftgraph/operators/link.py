@@ -21,16 +21,15 @@ def cooccurrence(mentions: DataFrame, chunks: DataFrame, min_shared: int = 2) ->
     once per chunk.  first_page is the page of the first shared chunk (by id), which may
     have none; confidence is ``min(1, 0.4 + 0.1 * shared)``.
 
-    Entities in fewer than ``min_shared`` chunks are dropped before pairing, which loses no
-    pair.  Pairs come from a self join on the chunk, which streams through a chunk
-    however many entities it has, and are counted partly before the shuffle.
+    Pairs come from a self join on the chunk, which streams through a chunk however many
+    entities it has, keeps the partitioning of the join with the chunks, and is counted
+    partly before the shuffle.
     """
     pages = chunks.select(F.col("id").alias("chunk_id"), T.page_of(F.col("name")).alias("page")).where("chunk_id is not null").dropDuplicates(["chunk_id"])
-    base = mentions.select("workspace", "chunk_id", F.col("entity_id").alias("e")).dropna().distinct()
-    often = base.groupBy("workspace", "e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared).select("workspace", "e")
-    rows = base.join(often, ["workspace", "e"], "left_semi").join(pages, "chunk_id")
-    other = rows.select("workspace", "chunk_id", F.col("e").alias("dst_id"))
-    pairs = rows.withColumnRenamed("e", "src_id").join(other, ["workspace", "chunk_id"]).where("src_id < dst_id")
+    base = mentions.select("workspace", "chunk_id", F.col("entity_id").alias("src_id")).dropna().distinct()
+    rows = base.join(pages, "chunk_id")
+    other = rows.select("chunk_id", F.col("workspace").alias("_w"), F.col("src_id").alias("dst_id"))
+    pairs = rows.join(other, "chunk_id").where((F.col("workspace") == F.col("_w")) & (F.col("src_id") < F.col("dst_id")))
     counted = pairs.groupBy("workspace", "src_id", "dst_id").agg(F.count(F.lit(1)).alias("shared"), F.min_by("page", "chunk_id").alias("first_page")).where(F.col("shared") >= min_shared)
     return counted.withColumn("confidence", F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.1) * F.col("shared")))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +39,46 @@ def alias_buckets(entities: DataFrame, mentions: DataFrame, etype: str | None =
     return split_join(keyed, best, on).select("workspace", "etype", "key", "id", "name", "canonical_id", "bucket_size")
 
 
+def _near(threshold: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Pairs of one pair of blocks: rows ``scope, p, q, right, id, v`` of unit vectors."""
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        right = table.column("right").to_numpy(zero_copy_only=False).astype(bool)
+        ids = table.column("id").to_numpy()
+        vectors = table.column("v").combine_chunks()
+        width = len(vectors[0].as_py()) if len(vectors) else 0
+        data = vectors.flatten().to_numpy().reshape(len(vectors), width)
+        same = key[1].as_py() == key[2].as_py()
+        a, b = (np.flatnonzero(~right), np.flatnonzero(~right if same else right))
+        s = data[a] @ data[b].T
+        i, j = np.nonzero(s >= threshold)
+        if same:
+            i, j = i[ids[a[i]] < ids[b[j]]], j[ids[a[i]] < ids[b[j]]]
+        x, y = ids[a[i]], ids[b[j]]
+        return pa.table({"scope": pa.array([key[0].as_py()] * len(i), pa.string()), "a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": s[i, j]})
+
+    return work
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.9, block: int = 512) -> DataFrame:
     """``scope, a, b, similarity`` of vectors of one scope with a cosine of at least ``threshold``; a < b.
 
     ``vectors`` has ``scope, id, vector``.  Exact, so the work is quadratic within a scope:
-    vectors are dealt to blocks of some ``block`` rows and each pair of blocks is joined by
-    equality on its name, which spreads a scope over as many tasks as it has block
-    pairs.  Null vectors and ids are left out; vectors of different length are not compared.
+    vectors are dealt to blocks of some ``block`` rows, and each pair of blocks is one
+    group of bounded size, compared by one product of matrices, which spreads a scope over
+    as many tasks as it has block pairs.  Null and empty vectors, vectors with null elements and null ids are left
+    out; vectors of different length are not compared; a scope of null counts as empty.
     """
-    rows = durable(vectors.select("scope", "id", F.transform("vector", lambda x: x.cast("double")).alias("v")).where("v is not null and id is not null").withColumn("norm", T.norm(F.col("v"))), "vectors")
+    scope = F.concat_ws("\n", F.coalesce("scope", F.lit("")), F.size("vector"))
+    whole = "vector is not null and id is not null and size(vector) > 0 and not exists(vector, x -> x is null)"
+    typed = vectors.where(whole).select(scope.alias("scope"), F.col("id").cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    rows = durable(typed.withColumn("norm", T.norm(F.col("v"))).select("scope", "id", F.transform("v", lambda x: x / F.col("norm")).alias("v")), "vectors")
     size = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = rows.join(size, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = dealt.select("scope", F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("q"), F.col("id").alias("i"), F.col("v").alias("x"), F.col("norm").alias("nx"))
-    right = dealt.select("scope", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"), F.col("id").alias("j"), F.col("v").alias("y"), F.col("norm").alias("ny"))
-    met = left.join(right, ["scope", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("i") < F.col("j"))) & (F.size("x") == F.size("y")))
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-    return met.withColumn("similarity", dot / (F.col("nx") * F.col("ny"))).where(F.col("similarity") >= threshold).select("scope", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sent = dealt.select("scope", "id", "v", "own", F.explode(others).alias("o")).select("scope", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).alias("right"), "id", "v")
+    near = sent.groupBy("scope", "p", "q").applyInArrow(_near(threshold), "scope string, a long, b long, similarity double")
+    return near.withColumn("scope", F.regexp_replace("scope", r"\n[0-9]+\z", ""))
 
 
 def linked_groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
