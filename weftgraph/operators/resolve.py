@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import drop_durable, durable
 from weftgraph.plans.skew import split_join
 
 
@@ -96,7 +96,9 @@ def linked_groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         step = labels.join(seen, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = durable(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
+        drop_durable(labels)
         if new.where("label <> old").isEmpty():
+            drop_durable(both)
             return new.select("id", F.col("label").alias("group_id"))
         labels = new.select("id", "label")
     raise RuntimeError(f"labels still change after {rounds} rounds")

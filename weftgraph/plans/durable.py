@@ -47,16 +47,24 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_durable(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`durable` that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if spark.sparkContext.applicationId in folder and folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_durable(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`durable` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        mine = f"/{spark.sparkContext.applicationId}/"
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            if mine in folder:
+                _delete(spark, folder)
+
+
+def clear_durable(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that read them cannot be computed any more."""
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def sized(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
