@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import drop_durable, durable
 from weftgraph.plans.skew import split_join
 
 #: Links one task may hold: some 200 MB of arrays while they are merged.
@@ -88,12 +88,14 @@ def _contract(links: DataFrame, bound: int, seed: int) -> DataFrame:
         maps.append(first)
         left = split_join(links.select(F.col("id").alias("v"), "root"), first, ["v"]).select(F.col("to").alias("id"), F.col("root").alias("v"))
         moved = split_join(left, first, ["v"]).select("id", F.col("to").alias("root")).where("id <> root")
-        links = durable(moved.select(F.greatest("id", "root").alias("id"), F.least("id", "root").alias("root")).distinct(), "contracted")
+        old, links = links, durable(moved.select(F.greatest("id", "root").alias("id"), F.least("id", "root").alias("root")).distinct(), "contracted")
+        drop_durable(old)
         count = links.count()
     final = links.repartition(1).mapInArrow(_union(1 << 62), _LINK)
     for first in reversed(maps):
         up = final.select(F.col("id").alias("to"), F.col("root"))
         final = durable(split_join(first, up, ["to"], "left").select(F.col("v").alias("id"), F.coalesce("root", "to").alias("root")), "labels")
+        drop_durable(first)
     return final
 
 
@@ -108,7 +110,8 @@ def components(edges: DataFrame, bound: int = BOUND, seed: int = 17) -> DataFram
     count, before = links.count(), float("inf")
     while count > bound and count < 0.9 * before:
         before = count
-        links = durable(links.repartition(-(-count // bound)).mapInArrow(_union(bound), _LINK), "forest")
+        old, links = links, durable(links.repartition(-(-count // bound)).mapInArrow(_union(bound), _LINK), "forest")
+        drop_durable(old)
         count = links.count()
     if count <= bound:
         labels = durable(links.repartition(1).mapInArrow(_union(1 << 62), _LINK), "labels")
