@@ -126,6 +126,49 @@ def test_scanners():
     assert parsers.definitions("def broken(:", "python") == [] and parsers.calls("x", "go") == []
 
 
+BROKEN = '''"""Notes."""
+
+def first(a, b=seed()):
+    """It's the "first" one: def not_one(x):"""
+    global = latch(a)
+    return [mend(
+        b), f"{fit(a)}"]
+
+Roughly 27 sacks (see item 3) were Ravimstead's, “said” nobody(kept
+    tail = hinge(a)
+
+class Yard(Base):
+    def open(self):
+        if self.shut(): self.swing ()
+        x = = lift(1)
+
+    def shut(self):
+        """A quote that never ends.
+        return bolt(2)
+
+async def last():
+    await drain()
+
+def broken(:
+def bare(x):
+'''
+
+
+def test_broken_python():
+    found = parsers.definitions(BROKEN, "python")
+    assert [(d.kind, d.name, d.start_line, d.end_line) for d in found] == [("function", "first", 3, 10), ("class", "Yard", 12, 19), ("function", "open", 13, 15), ("function", "shut", 17, 19), ("function", "last", 21, 22), ("function", "bare", 25, 25)]
+    assert all(BROKEN[d.begin : d.end] == d.text and d.text.rstrip() == d.text for d in found)
+    calls = parsers.calls(BROKEN, "python")
+    assert sorted(calls) == sorted([("first", x) for x in ("seed", "latch", "mend", "fit", "hinge")] + [("open", "shut"), ("open", "swing"), ("open", "lift"), ("shut", "bolt"), ("last", "drain")])
+    assert parsers.calls("x = = 1\n" + PY, "python") == parsers.calls(PY, "python") and len(parsers.definitions("x = = 1\n" + PY, "python")) == 4
+
+
+def test_broken_python_is_searchable(spark, tmp_path):
+    (tmp_path / "notes.py").write_text(BROKEN)
+    graph, _ = compose.ingest(Graph(spark), str(tmp_path), "b")
+    assert ("function", "first", 3) in rows(graph["chunks"], "kind", "name", "start_line") and graph["edges"].where("edge_type = 'calls'").count() == 10
+
+
 def test_prose_lens(spark, tmp_path):
     text = "# one\nMira Vale met Odo Finch. Mira Vale left.\n# two\nOdo Finch saw Mira Vale and Odo Finch.\n# three\nMira Vale and Odo Finch.\n"
     (tmp_path / "book.md").write_text(text)

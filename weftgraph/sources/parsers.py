@@ -1,6 +1,7 @@
 """Definitions and calls in source text.
 
-Python is parsed with the standard library.  Rust, JavaScript and TypeScript have no parser
+Python is parsed with the standard library, and by a tolerant pass where that fails: definitions by
+their heads and indentation, calls statement by statement.  Rust, JavaScript and TypeScript have no parser
 here; a scanner blanks strings and comments, finds definitions by their keywords and their
 ends by matching braces.  It covers the usual forms; macros, decorators that build
 code, regular expressions that hold braces, and arrow functions are beyond it.
@@ -9,7 +10,9 @@ code, regular expressions that hold braces, and arrow functions are beyond it.
 from __future__ import annotations
 
 import ast
+import keyword
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 
@@ -80,13 +83,186 @@ def _scan(source: str, lang: str) -> list[Definition]:
     return [Definition(k, n, lines(b), lines(max(b, e - 1)), source[b:e], b, e) for b, e, k, n in sorted(found)]
 
 
+_PY_TOKEN = re.compile(r"""#[^\n]*|(\"{3}|'{3})|"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)""", re.S)
+_PY_HEAD = re.compile(r"(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)[ \t]*(?=[\[(:])")
+_PY_HEAD_LINE = re.compile(r"(?m)^[ \t]*(?:(?:async[ \t]+)?def[ \t]+\w+[ \t]*[\[(]|class[ \t]+\w+[ \t]*[\[(:])")
+#: Words that begin a statement and cannot stand inside brackets.
+_PY_STATEMENT = re.compile(r"[ \t]*(?:async[ \t]+def|def|class|return|import|raise|while|try|del|assert|pass|break|continue|with|global|nonlocal)\b")
+_PY_COMPOUND = re.compile(r"(?:async|def|class|if|elif|else|for|while|with|try|except|finally|match|case)\b")
+_PY_CALL = re.compile(r"(?<!\w)([^\W\d]\w*)\(")
+_PY_BROKEN = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _blank_python(source: str) -> tuple[str, set[int]]:
+    """The source with comments as blanks and strings as quotation marks, and the starts of lines inside strings.
+
+    A triple quote without a partner, or one that would swallow a definition while their number is odd, ends with its line.
+    """
+    other = {'"""': "'", "'''": '"'}
+    marks = {q: [m.start() for m in re.finditer(f"(?<!{o}){q}|{q}(?!{o})", source)] for q, o in other.items()}  # quoted ones are none
+    out, inside, at = [], set(), 0
+    while m := _PY_TOKEN.search(source, at):
+        begin, end, quote = m.start(), m.end(), m.group(1)
+        if quote:
+            close = re.compile(r"(?:\\.|(?!" + quote + r")[^\\])*+" + quote, re.S).match(source, end)
+            odd = (len(marks[quote]) - bisect_left(marks[quote], begin)) % 2
+            if close and not (odd and _PY_HEAD_LINE.search(source, end, close.end())):
+                end = close.end()
+            else:
+                end = source.find("\n", end) % (len(source) + 1)
+        text = source[begin:end]
+        inside.update(begin + k.end() for k in re.finditer("\n", text))
+        out += [source[at:begin], re.sub(r"[^\n]", " " if text[0] == "#" else '"', text)]
+        at = end
+    return "".join(out) + source[at:], inside
+
+
+def _brackets(code: str) -> dict[int, int]:
+    """Closing positions by opening ones; what is not closed before the next statement is no bracket."""
+    pairs, open_, match = {")": "(", "]": "[", "}": "{"}, [], {}
+    held = dict.fromkeys("([{", 0)
+    for m in re.finditer(r"(?m)[()\[\]{}]|^(?=[ \t]*[a-z])", code):
+        c = m.group()
+        if not c:
+            if open_ and _PY_STATEMENT.match(code, m.start()):
+                open_, held = [], dict.fromkeys("([{", 0)
+        elif c in held:
+            open_.append((c, m.start()))
+            held[c] += 1
+        elif held[pairs[c]]:
+            while True:
+                o, k = open_.pop()
+                held[o] -= 1
+                if o == pairs[c]:
+                    break
+            match[k] = m.start()
+    return match
+
+
+def _logical_lines(code: str, inside: set[int], match: dict[int, int]) -> list[tuple[int, int, int]]:
+    """``begin, end, indentation`` of statements: lines joined within strings, brackets and after backslashes."""
+    out, at = [], 0
+    opens = sorted(match)
+    while at < len(code):
+        eol = code.find("\n", at) % (len(code) + 1)
+        head = re.compile(r"[ \t\f\r]*").match(code, at, eol).end()
+        if head == eol:
+            at = eol + 1
+            continue
+        k = bisect_left(opens, at)
+        while True:
+            far = eol
+            while k < len(opens) and opens[k] < eol:
+                far = max(far, match[opens[k]])
+                k += 1
+            if far == eol and eol + 1 not in inside and not code[at:eol].rstrip("\r").endswith("\\"):
+                break
+            if eol >= len(code):
+                break
+            eol = code.find("\n", max(far, eol + 1)) % (len(code) + 1)
+        white = code[at:head].rpartition("\f")[2].replace("\r", "")
+        out.append((head, head + len(code[head:eol].rstrip()), len(white.expandtabs(8))))
+        at = eol + 1
+    return out
+
+
+def _head(code: str, begin: int, end: int, match: dict[int, int]) -> re.Match | None:
+    """The head of a definition if a whole one begins the statement: its brackets closed, its colon there."""
+    m = _PY_HEAD.match(code, begin, end)
+    if not m:
+        return None
+    at, seen = m.end(), False
+    while at < end and code[at] != ":":
+        if code[at] in "([{":
+            if at not in match:
+                return None
+            seen |= code[at] == "("
+            at = match[at]
+        at += 1
+    return m if at < end and (seen or m.group(1) == "class") else None
+
+
+def _statement_calls(source: str, code: str, begin: int, end: int) -> list[tuple[str, int]]:
+    """Calls of one statement, which may be the head of a compound one; by pattern if it does not parse."""
+    text, before, after = source[begin:end], "", ""
+    word = re.match(r"@|\w*", text).group()
+    if code[end - 1] == ":":
+        after = " pass"
+    if word in ("else", "elif"):
+        before = "if 0: pass\n"
+    elif word in ("except", "finally"):
+        before = "try: pass\n"
+    elif word == "case":
+        before = "match 0:\n "
+    elif word == "@":
+        after = "\ndef _(): pass"
+    elif word == "try":
+        after += "\nfinally: pass"
+    elif word == "match" and after:
+        after = "\n case _: pass"
+    try:
+        return [(name, begin + at - len(before)) for name, at in _tree_calls(before + text + after, ast.parse(before + text + after))]
+    except _PY_BROKEN:
+        named = [(m.group(1), m.start()) for m in _PY_CALL.finditer(code, begin, end) if not keyword.iskeyword(m.group(1))]
+        return [(n, k) for n, k in named if not re.search(r"\b(?:def|class)[ \t]+\Z", code[max(begin, k - 20) : k])]
+
+
+def _recover(source: str) -> tuple[list[Definition], list[tuple[str, int]]]:
+    """Definitions and calls of Python that does not parse as a whole.
+
+    A definition needs a whole head and reaches as far as its lines are indented.  Lines that are
+    indented without cause go on with the definition before them, what lies between is not part of
+    it, and its calls count for nothing.
+    """
+    source, given = re.sub(r"\r(?!\n)", "\n", source), source
+    code, inside = _blank_python(source)
+    match = _brackets(code)
+    found, sites, open_, was = [], [], [], []
+    gap, left, last = [], 0, (0, False)  # calls since a definition was left; indentation of the last statement, and whether a block follows it
+    for begin, end, indent in _logical_lines(code, inside, match):
+        if was and indent > last[0] and not last[1]:
+            back = [d for d in was if d[4] < indent]
+            if len(back) > len([d for d in open_ if d[4] < indent]):
+                open_, sites, was = back, sites[:left], []
+        keep = [d for d in open_ if d[4] < indent]
+        if len(keep) < len(open_) and not was:
+            was, left = open_, len(sites)
+        open_ = keep
+        head = _head(code, begin, end, match)
+        if head:
+            was = []
+            open_ = [*open_, [head.group(1), head.group(2), begin, end, indent]]
+            found.append(open_[-1])
+        for d in open_:
+            d[3] = end
+        sites += _statement_calls(source, code, begin, end)
+        last = indent, code[end - 1] == ":" and bool(_PY_COMPOUND.match(code, begin))
+    line = lambda k: source.count("\n", 0, k) + 1
+    defs = [Definition("class" if k == "class" else "function", n, line(b), line(e - 1), given[b:e], b, e) for k, n, b, e, _ in found]
+    return defs, sites
+
+
+def _tree_calls(source: str, tree: ast.AST) -> list[tuple[str, int]]:
+    starts = [0]
+    rows = source.split("\n")
+    for line in rows:
+        starts.append(starts[-1] + len(line) + 1)
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call):
+            name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
+            if name:
+                out.append((name, starts[node.lineno - 1] + len(rows[node.lineno - 1].encode()[: node.col_offset].decode("utf-8", "ignore"))))
+    return sorted(out, key=lambda x: x[1])
+
+
 def definitions(source: str, lang: str) -> list[Definition]:
-    """Definitions in order of position; none for languages that are not parsed and for broken Python."""
+    """Definitions in order of position; none for languages that are not parsed.  Python that does not parse gives those that are whole."""
     if lang == "python":
         try:
             tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
+        except _PY_BROKEN:
+            return _recover(source)[0]
         starts = [0]
         for line in source.split("\n"):
             starts.append(starts[-1] + len(line) + 1)
@@ -106,19 +282,9 @@ def call_sites(source: str, lang: str) -> list[tuple[str, int]]:
     if lang == "python":
         try:
             tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
-        starts = [0]
-        rows = source.split("\n")
-        for line in rows:
-            starts.append(starts[-1] + len(line) + 1)
-        out = []
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Call):
-                name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
-                if name:
-                    out.append((name, starts[node.lineno - 1] + len(rows[node.lineno - 1].encode()[: node.col_offset].decode("utf-8", "ignore"))))
-        return sorted(out, key=lambda x: x[1])
+        except _PY_BROKEN:
+            return _recover(source)[1]
+        return _tree_calls(source, tree)
     if lang not in _KEYWORDS:
         return []
     code = blank(source, lang)
