@@ -77,6 +77,29 @@ def test_links(ingested):
     assert counts["structural_bindings"] == 2
 
 
+def test_call_mentions(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def bale():\n    return 1\n\ndef stack():\n    bale()\n    lift_up(bale())\n\ndef stack():\n    drop()\n\nlost()\n")
+    (tmp_path / "a.md").write_text("# One\nUse `lift_up(1)` and `bale()`.\n")
+    graph, _ = compose.ingest(Graph(spark), str(tmp_path), "c")
+
+    def said(g):
+        names, places = g["entities"].select(F.col("id").alias("entity_id"), "name", "etype"), g["chunks"].where("kind = 'function'").select(F.col("id").alias("chunk_id"), "start_line")
+        return sorted(tuple(r) for r in g["mentions"].join(names.where("etype = 'symbol'"), "entity_id").join(places, "chunk_id").select("name", "start_line", "surface").collect())
+
+    want = [("bale", 1, "bale"), ("bale", 4, "bale"), ("bale", 4, "bale"), ("drop", 4, "drop"), ("lift_up", 4, "lift_up"), ("stack", 4, "stack"), ("stack", 8, "stack")]
+    assert said(graph) == want
+    ids = {(r.name, r.etype): r.id for r in graph["entities"].collect()}
+    lines = {r.id: r.start_line for r in graph["chunks"].collect()}
+    links = {r.dst_id: r.code for r in graph["edges"].where("edge_type = 'doc_describes_code'").select("dst_id", F.get_json_object("provenance", "$.code_chunk").cast("long").alias("code")).collect()}
+    assert {d: lines[c] for d, c in links.items()} == {ids["lift_up", "symbol"]: 4, ids["bale", "symbol"]: 1}
+    again, more = compose.run_extractors(graph, "c", ["ast-callgraph", {"use": "co-occurrence", "min_cooccur": 1}])
+    assert said(again) == want and again["mentions"].count() == again["mentions"].select("id").distinct().count()
+    pairs = {frozenset(r) for r in again["edges"].where("edge_type = 'co_occurs'").select("src_id", "dst_id").collect()}
+    assert frozenset([ids["stack", "symbol"], ids["lift_up", "symbol"]]) in pairs
+    merged, _ = write.merge_by_name(graph, "c", "bale", ["drop"])
+    assert [x for x in said(compose.run_extractors(merged, "c", ["ast-callgraph"])[0]) if x[2] == "drop"] == [("drop", 4, "drop")]
+
+
 def test_twice_is_once(ingested, corpus, spark):
     graph, counts = ingested
     again, more = compose.ingest(graph, str(corpus), "w")

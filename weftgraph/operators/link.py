@@ -126,6 +126,31 @@ def call_edges(calls: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFra
     return edges.select("workspace", "src_id", "dst_id", F.lit(1.0).alias("confidence"), F.lit("structural").alias("method")), new
 
 
+def _call_mark(chunk_id: Column, surface: Column) -> Column:
+    return F.shiftright(F.xxhash64(F.lit("call"), chunk_id, surface), 24)
+
+
+def is_call_mention() -> Column:
+    """Whether a row of mentions was made by :func:`call_mentions`; holds for merged entities too."""
+    return F.coalesce(F.shiftright("id", 24) == _call_mark(F.col("chunk_id"), F.col("surface")), F.lit(False))
+
+
+def call_mentions(calls: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``id, workspace, entity_id, chunk_id, surface``: the callees, one for each call site, in the first chunk of the enclosing definition.
+
+    ``calls`` and ``symbols`` are those of :func:`call_edges`, with the added symbols.  First is by
+    start line, of equal ones the longest.  The id's upper bits come from chunk and surface, the
+    lower 24 count the sites.
+    """
+    known = symbols.where("name is not null").groupBy("workspace", "name").agg(F.min("id").alias("id"))
+    inside = calls.where("enclosing is not null and callee is not null and enclosing <> callee").join(known.select("workspace", F.col("name").alias("enclosing")), ["workspace", "enclosing"], "left_semi")
+    first = chunks.groupBy("workspace", "artifact_id", F.col("name").alias("enclosing")).agg(F.min(F.struct("start_line", -F.col("end_line"), "id")).alias("c"))
+    sites = inside.groupBy("workspace", "artifact_id", "enclosing", F.col("callee").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    said = sites.join(first, ["workspace", "artifact_id", "enclosing"]).select("workspace", F.col("c.id").alias("chunk_id"), "surface", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    found = said.join(known.select("workspace", F.col("name").alias("surface"), F.col("id").alias("entity_id")), ["workspace", "surface"])
+    return found.select((F.shiftleft(_call_mark(F.col("chunk_id"), F.col("surface")), 24) + F.col("k")).alias("id"), "workspace", "entity_id", "chunk_id", "surface")
+
+
 def entity_id(workspace: Column, name: Column, etype: Column) -> Column:
     """Stable id of an entity from what makes it unique."""
     return F.xxhash64(workspace, name, etype)

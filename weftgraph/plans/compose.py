@@ -124,7 +124,9 @@ def co_occurrence(graph: Graph, workspace: str, config: dict) -> tuple[Graph, di
 @extractor("doc-cross-source")
 def doc_cross_source(graph: Graph, workspace: str, config: dict) -> tuple[Graph, dict]:
     tables = [_here(graph, t, workspace) for t in ("entities", "mentions", "chunks", "artifacts")]
-    code = link.grounded(*tables, ("code",)).where("etype = 'symbol'")
+    # a symbol lies where it is defined; only one that is defined nowhere lies where it is called
+    defined = link.grounded(tables[0], tables[1].where(~link.is_call_mention()), *tables[2:], ("code",)).where("etype = 'symbol'")
+    code = defined.unionByName(link.grounded(*tables, ("code",)).where("etype = 'symbol'").join(defined.select("entity_id").distinct(), "entity_id", "left_anti"))
     links = link.doc_code_links(link.grounded(*tables, ("docs", "pdf")), code)
     new = links.select(
         F.xxhash64("workspace", "src_id", "dst_id", F.lit("doc_describes_code")).alias("id"), "workspace", "src_id", "dst_id", F.lit("doc_describes_code").alias("edge_type"), F.lit(1).alias("cross_source"), "confidence", "method",
@@ -165,10 +167,13 @@ def structural_binding(graph: Graph, workspace: str, config: dict) -> tuple[Grap
 def call_graph(graph: Graph, workspace: str, config: dict) -> tuple[Graph, dict]:
     calls = files.call_pairs(_sources(graph, workspace)).withColumn("workspace", F.lit(workspace))
     symbols = _here(graph, "entities", workspace).where("etype = 'symbol'").select("workspace", "id", "name")
-    edges, new = link.call_edges(durable(calls, "calls"), symbols)
+    calls = durable(calls, "calls")
+    edges, new = link.call_edges(calls, symbols)
     fresh = durable(new.withColumn("etype", F.lit("symbol")), "symbols")
     new_edges = edges.select(F.xxhash64("src_id", "dst_id", F.monotonically_increasing_id()).alias("id"), "workspace", "src_id", "dst_id", F.lit("calls").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence", "method", F.lit(1).alias("asserted"))
-    graph = graph.with_tables(entities=graph["entities"].unionByName(conform(fresh, "entities")))
+    said = durable(link.call_mentions(calls, symbols.unionByName(fresh.select("workspace", "id", "name")), _here(graph, "chunks", workspace)), "mentions")
+    stay = graph["mentions"].where(~(F.coalesce(F.col("workspace") == workspace, F.lit(False)) & link.is_call_mention()))
+    graph = graph.with_tables(entities=graph["entities"].unionByName(conform(fresh, "entities")), mentions=stay.unionByName(conform(said, "mentions")))
     graph, n = _replace_edges(graph, (F.col("workspace") == workspace) & (F.col("edge_type") == "calls") & (F.col("method") == "structural"), new_edges)
     return graph, {"calls": n}
 
