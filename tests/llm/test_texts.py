@@ -126,6 +126,22 @@ def test_mix(spark):
     assert capped.where("source = 'alpha'").agg(F.min("copies")).first()[0] == 2
 
 
+def test_tempered_mix(spark, tmp_path):
+    from weftgraph.llm import queries
+
+    docs = [(i, "big" if i % 20 else "scarce", "word " * (20 + i % 30)) for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.5, 3), ("scarce", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    exact, near = ({r.source: r for r in queries.queries()[q](spark, str(tmp_path)).collect()} for q in ("p9_shares", "p9_tempered_shares"))
+    every = mixing.token_sizes(spark.read.parquet(str(tmp_path / "documents.parquet"))).agg(F.sum("tokens")).first()[0]
+    assert abs(exact["scarce"].reached_share - 0.5) < 0.02 and sum(r.tokens for r in exact.values()) < 0.25 * every
+    assert 0.95 * every < sum(r.tokens for r in near.values()) <= every
+    # the scarce source gives all that it may, and so do the documents selected
+    assert near["scarce"].most_copies == 2 and near["scarce"].planned_share < 0.15 and abs(near["scarce"].reached_share - near["scarce"].planned_share) < 0.02
+    rows = queries.queries()["p9_tempered"](spark, str(tmp_path)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()
+    assert {r.source: r.n for r in rows} == {s: r.tokens for s, r in near.items()}
+
+
 # ---- shared spans ----
 
 

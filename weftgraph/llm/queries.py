@@ -74,6 +74,7 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact target shares, at the size that the scarcest source allows."""
     return mixing.mix(mixing.token_sizes(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets"))
 
 
@@ -82,6 +83,23 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
 
 
+def _tempered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, float]:
+    sizes, targets = mixing.token_sizes(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")
+    return sizes, targets, float(sizes.agg(F.sum("tokens")).first()[0] or 0)
+
+
+def p9_tempered(spark: SparkSession, sf: str) -> DataFrame:
+    """As many tokens as the documents have, if the limits allow it, at the shares nearest to the targets by bisected temperature."""
+    sizes, targets, budget = _tempered(spark, sf)
+    return mixing.mix(sizes, targets, budget)
+
+
+def p9_tempered_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target, planned and reached shares of p9_tempered."""
+    sizes, targets, budget = _tempered(spark, sf)
+    return mixing.shares(mixing.mix(sizes, targets, budget), sizes, targets, budget)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_pairs(_table(spark, sf, "documents"))
 
@@ -97,7 +115,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_passages, p10_coverage)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p9_selection, p9_shares, p9_tempered, p9_tempered_shares, p10_found, p10_passages, p10_coverage)}
 
 
 _TERMS = """
