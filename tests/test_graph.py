@@ -226,3 +226,14 @@ def test_doc_chunks(spark):
     rows = [(1, "/d/a.md", "pre\n# One\nx\r\n## Two ##\ny"), (2, "/d/b.txt", "no heads\n"), (3, "/d/c.md", None), (4, "/d/d.md", ""), (5, "/d/e.md", "  \n# H\nz"), (6, "/d/f.md", "INT. BARN - DAY\nq\nSECTION\nSECTION 2 x")]
     got = [(r.artifact_id, r.name, r.text) for r in files.doc_chunks(spark.createDataFrame(rows, "artifact_id long, path string, text string")).orderBy("artifact_id", "ord").collect()]
     assert got == [(1, "a.md", "pre\n"), (1, "One", "# One\nx\r\n"), (1, "Two ##", "## Two ##\ny"), (2, "b.txt", "no heads\n"), (4, "d.md", ""), (5, "H", "# H\nz"), (6, "INT. BARN - DAY", "INT. BARN - DAY\nq\nSECTION\n"), (6, "SECTION 2 x", "SECTION 2 x")]
+
+
+def test_hybrid_search_fuses_full_ranks(spark):
+    g = Graph(spark)
+    texts = {**{i: "hay hay" for i in range(1, 5)}, 5: "hay in a long barn", **{i: "stone" for i in range(11, 15)}}
+    chunks = spark.createDataFrame([(i, "w", 1, "section", "s", t) for i, t in texts.items()], "id long, workspace string, artifact_id long, kind string, name string, text string")
+    chunks = g.with_tables(chunks=chunks)["chunks"]
+    vectors = spark.createDataFrame([(5, [0.5, 1.0])] + [(i, [1.0, 0.0]) for i in range(11, 15)], "id long, vector array<double>")
+    artifacts = g.with_tables(artifacts=spark.createDataFrame([(1, "w", "/a.md", "docs")], "id long, workspace string, path string, kind string"))["artifacts"]
+    got = search.hybrid_search(chunks, artifacts, g["derived"], "hay", 1, "w", vectors, [1.0, 0.0]).collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [(5, round(2 / 65, 6))]

@@ -9,6 +9,9 @@ from weftgraph.functions import text as T
 from weftgraph.operators.read import located, original_place, scoped
 from weftgraph.operators.resolve import keep_top
 
+#: More rows than a ranking has.
+EVERY = 2**31 - 1
+
 
 def keyword_search(chunks: DataFrame, artifacts: DataFrame, query: str, k: int = 8, workspace: str | None = None) -> DataFrame:
     """``workspace, id, kind, name, start_line, end_line, path, artifact_kind, preview``: the first ``k`` chunks (by id) of a workspace with ``query`` in text or name.
@@ -76,14 +79,14 @@ def hybrid_search(chunks: DataFrame, artifacts: DataFrame, derived: DataFrame, q
     """The ``k`` best chunks for a text: ``workspace, id, kind, name, start_line, end_line, path, page, artifact_kind, preview, score, retriever``.
 
     Rankings by BM25 and, where chunk vectors (``id, vector``) and the query's vector are
-    given, by cosine are fused.  Without any hit the keyword search answers, with score
+    given, by cosine are fused, each in full: a low rank still adds to a score.  Without any hit the keyword search answers, with score
     null.  What was derived from a paged file is cited by that file and page.
     """
     rows = scoped(chunks, workspace)
     asked = chunks.sparkSession.createDataFrame([(0, query, query_vector)], "query_id long, text string, vector array<double>")
-    legs = [bm25(rows.dropDuplicates(["id"]).select("id", F.concat_ws(" ", "name", "text").alias("text")), asked, 4 * k)]
+    legs = [bm25(rows.dropDuplicates(["id"]).select("id", F.concat_ws(" ", "name", "text").alias("text")), asked, EVERY)]
     if vectors is not None and query_vector is not None:
-        legs.append(vector_ranking(vectors.join(rows.select("id").distinct(), "id", "left_semi"), asked, 4 * k))
+        legs.append(vector_ranking(vectors.join(rows.select("id").distinct(), "id", "left_semi"), asked, EVERY))
     best = fuse_rankings(legs, k).select("id", "score")
     columns = ["workspace", "id", "kind", "name", "start_line", "end_line", "path", "artifact_kind", "preview"]
     hits = located(rows.join(F.broadcast(best.select("id")), "id", "left_semi"), artifacts).join(F.broadcast(best), "id")
