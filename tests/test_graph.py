@@ -237,3 +237,13 @@ def test_hybrid_search_fuses_full_ranks(spark):
     artifacts = g.with_tables(artifacts=spark.createDataFrame([(1, "w", "/a.md", "docs")], "id long, workspace string, path string, kind string"))["artifacts"]
     got = search.hybrid_search(chunks, artifacts, g["derived"], "hay", 1, "w", vectors, [1.0, 0.0]).collect()
     assert [(r.id, round(r.score, 6)) for r in got] == [(5, round(2 / 65, 6))]
+
+
+def test_hybrid_search_cites_pages(spark):
+    g = Graph(spark)
+    chunks = spark.createDataFrame([(1, "w", 1, "page", "p3", "hay"), (2, "w", 2, "section", "p4", "hay")], "id long, workspace string, artifact_id long, kind string, name string, text string")
+    artifacts = spark.createDataFrame([(1, "w", "/a.pdf", "pdf"), (2, "w", "/b.md", "docs")], "id long, workspace string, path string, kind string")
+    g = g.with_tables(chunks=chunks, artifacts=artifacts)
+    for query in ("hay", "ha"):  # by rank, and by keyword
+        got = search.hybrid_search(g["chunks"], g["artifacts"], g["derived"], query, 5, "w").collect()
+        assert {(r.path, r.page) for r in got} == {("/a.pdf", 3), ("/b.md", None)}

@@ -80,7 +80,8 @@ def hybrid_search(chunks: DataFrame, artifacts: DataFrame, derived: DataFrame, q
 
     Rankings by BM25 and, where chunk vectors (``id, vector``) and the query's vector are
     given, by cosine are fused, each in full: a low rank still adds to a score.  Without any hit the keyword search answers, with score
-    null.  What was derived from a paged file is cited by that file and page.
+    null.  What was derived from a paged file is cited by that file and page,
+    a page's own chunk by its number.
     """
     rows = scoped(chunks, workspace)
     asked = chunks.sparkSession.createDataFrame([(0, query, query_vector)], "query_id long, text string, vector array<double>")
@@ -93,4 +94,5 @@ def hybrid_search(chunks: DataFrame, artifacts: DataFrame, derived: DataFrame, q
     found = hits.select("workspace", "id", "kind", "name", "start_line", "end_line", "path", "artifact_kind", F.substring("text", 1, 600).alias("preview"), "score", F.lit("hybrid").alias("retriever"))
     if best.isEmpty():
         found = keyword_search(chunks, artifacts, query, k, workspace).select(*columns, F.lit(None).cast("double").alias("score"), F.lit("keyword").alias("retriever"))
-    return original_place(found, derived).orderBy(F.col("score").desc_nulls_last(), "id")
+    paged = F.when(F.col("kind") == "page", T.page_of(F.col("name")))
+    return original_place(found, derived).withColumn("page", F.coalesce("page", paged)).orderBy(F.col("score").desc_nulls_last(), "id")
