@@ -49,16 +49,69 @@ def test_fingerprints_are_majorities():
             assert int(g) == sum(1 << b for b, k in enumerate(bits) if k > count // 2)
 
 
-def test_near_finds_all_within_radius():
+@pytest.mark.parametrize("radius", [3, 8, 13])
+def test_near_finds_all_within_radius(radius):
     rng = random.Random(2)
-    items = [(k, " ".join(rng.choice("abcdefgh") * 3 for _ in range(30))) for k in range(20)]
-    index = leakage.ItemIndex(items, 12, 3)
-    asks = np.array([int(p) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for p in index.prints], np.uint64)
-    rows, windows = index.near(asks)
-    want = {(i, j) for i, a in enumerate(asks) for j, p in enumerate(index.prints) if (int(a) ^ int(p)).bit_count() <= 3}
+    prints = np.array([rng.getrandbits(64) for _ in range(60)], np.uint64)
+    level = leakage.Level(30, radius, prints, np.arange(60), np.zeros(60, np.int64))
+    asks = np.array([int(p) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 3))) for p in prints for _ in range(5)], np.uint64)
+    rows, windows = level.near(asks)
+    want = {(i, j) for i, a in enumerate(asks) for j, p in enumerate(prints) if (int(a) ^ int(p)).bit_count() <= radius}
     assert set(zip(rows.tolist(), windows.tolist())) == want
 
 
+def test_similarities_weigh_copies():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, (200, 14), dtype=np.uint64), rng.integers(0, 9, (200, 14), dtype=np.uint64)
+    for x, y, s in zip(a, b, leakage.similarities(a, b)):
+        both = sum(min((x == v).sum(), (y == v).sum()) for v in range(9))
+        assert math.isclose(s, both / (28 - both))
+
+
+def altered(words, edits, rng):
+    """``words`` with ``edits`` words replaced, left out or put in, anywhere."""
+    out = list(words)
+    for _ in range(edits):
+        k, how = rng.randrange(len(out)), rng.randrange(3)
+        out[k : k + (how > 0)] = [f"x{rng.randrange(10**6)}"] if how < 2 else []
+    return out
+
+
+@pytest.mark.parametrize(("shingle", "least"), [(5, 0.8), (1, 0.7)])
+def test_recall_of_altered_passages(spark, shingle, least):
+    """Against brute force over all windows of all items: at least 0.9 of what reaches the similarity is found."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(600)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(rng.randrange(12, 61))]) for k in range(60)]
+    docs, planted = [], {}
+    for d in range(400):
+        k, ws = rng.choice(items)
+        inside = altered(ws, d % 4, rng)
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(40))] + inside + [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        docs.append((d, text))
+        planted[d] = (k, d % 4)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, it, shingle=shingle, least=least).collect()}
+
+    sizes = leakage.ladder(12, 60)
+    bag = lambda ws: [tuple(ws[k : k + shingle]) for k in range(len(ws) - shingle + 1)]
+    rows = lambda ws, n: np.array([[hash(x) for x in bag(ws[k : k + n])] for k in range(len(ws) - n + 1)], np.int64).astype(np.uint64)
+    want = set()
+    for d, text in docs:
+        k, _ = planted[d]
+        ws = dict(items)[k]
+        for n in (12, max(s for s in sizes if s <= len(ws))):
+            a, b = rows(text, n), rows(ws, n)
+            if len(a) and len(b) and leakage.similarities(np.repeat(a, len(b), axis=0), np.tile(b, (len(a), 1))).max() >= least:
+                want.add((d, k))
+    assert len(got & want) >= 0.9 * len(want)
+    if shingle == 1:  # planted edits of 1 to 3 words in items of 12 to 60
+        for edits in (1, 2, 3):
+            some = [(d, k) for d, (k, e) in planted.items() if e == edits]
+            assert len(got & set(some)) >= 0.9 * len(some), edits
+
+
 def brute_leaks(docs, items):
     found = set()
     for d, t in docs:

@@ -60,8 +60,8 @@ def p7_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return codefiles.not_hand_written(_table(spark, sf, "artifacts"))
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+def _leaks(spark: SparkSession, sf: str, **how: float) -> DataFrame:
+    return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), **how)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +69,13 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    """All passages found, with their longest run.  Windows of 12 words and a similarity of 0.8 find equal windows only: a passage with a word changed in every 12 is not found."""
-    return _leaks(spark, sf)
+    """All passages found at five-word shingles and a similarity of 0.8, with the size they have and their longest equal run."""
+    return _leaks(spark, sf).withColumn("similarity", F.round("similarity", 6))
+
+
+def p8_altered(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole items with some words changed: the same search by single words at 0.7, as any changed word costs five shingles of five."""
+    return _leaks(spark, sf, shingle=1, least=0.7).withColumn("similarity", F.round("similarity", 6))
 
 
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +120,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p9_selection, p9_shares, p9_tempered, p9_tempered_shares, p10_found, p10_passages, p10_coverage)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p8_altered, p9_selection, p9_shares, p9_tempered, p9_tempered_shares, p10_found, p10_passages, p10_coverage)}
 
 
 _TERMS = """
@@ -171,6 +176,15 @@ SELECT id AS entity_id, min(r) AS group_id FROM reach GROUP BY id
 """
 
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _TERMS + "SELECT workspace, field_name, term, mark FROM marked WHERE mark IS NOT NULL",
@@ -180,4 +194,5 @@ def oracle_sql() -> dict[str, str]:
             round(n_ab::DOUBLE * n_chunks::DOUBLE / (n_a::DOUBLE * n_b::DOUBLE), 6) AS lift,
             round(CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / n_chunks::DOUBLE) / (1 - n_ab::DOUBLE / n_a::DOUBLE) END, 6) AS conviction FROM scored""",
         "p6_found": _GROUPS,
+        "p8_found": _LEAKS,
     }
