@@ -179,19 +179,39 @@ def test_mix(spark):
     assert capped.where("source = 'alpha'").agg(F.min("copies")).first()[0] == 2
 
 
+@pytest.mark.parametrize(("bits", "docs_"), [(12, 4096), (2, 5), (1, 1)])
+def test_blocks_of_any_size_cut_at_the_same_place(spark, monkeypatch, bits, docs_):
+    """The cut is that of the whole permutation, however it is divided into blocks."""
+    monkeypatch.setattr(mixing, "BLOCK_BITS", bits if 60 % bits == 0 else 12)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", docs_)
+    rng = random.Random(11)
+    docs = [(i, rng.choice("ab"), rng.randrange(1, 50)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens long").withColumn("rank", F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id"), 4)).persist()
+    rests = {"a": 777.0, "b": 0.5}
+    ends = {s: (r, d) for s, r, d in mixing._ends(df, rests)}
+    for s, rest in rests.items():
+        run, want = 0, set()
+        for r in sorted((r.rank, r.doc_id, r.tokens) for r in df.where(F.col("source") == s).collect()):
+            run += r[2]
+            want |= {r[1]} if run <= rest else set()
+        assert want == {r.doc_id for r in df.where(F.col("source") == s).collect() if (r.rank, r.doc_id) <= ends[s]}
+    assert mixing._ends(df, {"a": 1e9}) == [("a", 1 << 60, 0)]
+
+
 def test_tempered_mix(spark, tmp_path):
     from weftgraph.llm import queries
 
     docs = [(i, "big" if i % 20 else "scarce", "word " * (20 + i % 30)) for i in range(400)]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([("big", 0.5, 3), ("scarce", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
-    exact, near = ({r.source: r for r in queries.queries()[q](spark, str(tmp_path)).collect()} for q in ("p9_shares", "p9_tempered_shares"))
+    exact, near = ({r.source: r for r in queries.queries()[q](spark, str(tmp_path)).collect()} for q in ("p9_exact_shares", "p9_shares"))
     every = mixing.token_sizes(spark.read.parquet(str(tmp_path / "documents.parquet"))).agg(F.sum("tokens")).first()[0]
     assert abs(exact["scarce"].reached_share - 0.5) < 0.02 and sum(r.tokens for r in exact.values()) < 0.25 * every
     assert 0.95 * every < sum(r.tokens for r in near.values()) <= every
+    assert exact["big"].exponent == 0 and 0 < near["big"].exponent < 1
     # the scarce source gives all that it may, and so do the documents selected
     assert near["scarce"].most_copies == 2 and near["scarce"].planned_share < 0.15 and abs(near["scarce"].reached_share - near["scarce"].planned_share) < 0.02
-    rows = queries.queries()["p9_tempered"](spark, str(tmp_path)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()
+    rows = queries.queries()["p9_selection"](spark, str(tmp_path)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()
     assert {r.source: r.n for r in rows} == {s: r.tokens for s, r in near.items()}
 
 

@@ -5,13 +5,16 @@
    sources that exist, ``w(x)`` is proportional to ``q * (p / q) ** x``.  At x = 0 these
    are the targets, at x = 1 the natural shares, which need no repetition.  x is bisected
    to the smallest value at which no source repeats more than it may for the given budget;
-   without a budget, the budget is the largest that the targets allow (x = 0).  Without
-   targets, ``w(x)`` is proportional to ``p ** x`` and x is bisected to a target entropy.
+   without a budget, the budget is the largest that the targets allow (x = 0).  With a
+   target entropy, ``w(x)`` is proportional to ``p ** x`` and x is bisected to that entropy.
 3. Each source's part of the budget is realised by whole passes over its documents and
-   one partial pass: documents lie in blocks in an order drawn from the seed, blocks are
-   taken whole until the next would exceed the part, and only that one block is cut.
+   one partial pass over a permutation: documents are ordered by a hash drawn from the
+   seed, blocks are ranges of the hash.  Blocks are taken whole until the next would exceed
+   the part; that one is cut into blocks again, until it is small enough to be put in
+   order.  What comes out is one place in the permutation per source, so the selection is a
+   filter and no document is shuffled.
 
-Nothing but one row per source and block reaches a single place, and blocks are bounded in number.
+Nothing but 4,096 rows per source reaches a single task, and one row per source the driver.
 """
 
 from __future__ import annotations
@@ -25,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable, sized
+from weftgraph.plans.durable import durable
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pattern that splits a text into the pieces the vocabulary was made for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most blocks of a source: as many rows of one source are put in order in one task.
-BLOCKS = 16_384
-#: Documents that a block of a source should have; the number of blocks follows, up to BLOCKS.
-BLOCK_DOCS = 64
+#: Bits of the hash that tell the blocks of one level apart.
+BLOCK_BITS = 12
+#: Documents of a block up to which it is put in order.
+BLOCK_DOCS = 4096
 #: Sources that targets may name; their rows go to the driver.
 MAX_SOURCES = 100_000
 
@@ -117,12 +120,13 @@ def capped_weights(sizes: dict[str, int], targets: dict[str, float], repeats: di
     return at(hi), hi, budget
 
 
-def plan(sized_documents: DataFrame, targets: DataFrame, budget: float | None = None) -> list[tuple[str, float, float, int, int, float]]:
-    """``source, target_share, weight, tokens, max_repeats, goal`` for each target source and each source of the documents.
+def plan(sized_documents: DataFrame, targets: DataFrame, budget: float | None = None, target_entropy: float | None = None) -> tuple[list[tuple[str, float, float, int, int, float]], float]:
+    """``source, target_share, weight, tokens, max_repeats, goal`` for each target source and each source of the documents; x.
 
     ``targets`` has ``source, target_share, max_repeats``; spellings are unified, of
     repeated sources the row with the largest share counts.  Sources without a target
-    have weight and goal 0.
+    have weight and goal 0.  With ``target_entropy`` the sources' own shares are tempered to it and the
+    targets only say which sources take part and how often they may repeat.
     """
     rows = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).limit(MAX_SOURCES + 1).collect()
     have = sized_documents.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
@@ -131,48 +135,79 @@ def plan(sized_documents: DataFrame, targets: DataFrame, budget: float | None =
     sizes = {r.source: int(r.tokens or 0) for r in have}
     share = {r.source: float(r.t.target_share or 0) for r in rows}
     repeats = {r.source: int(r.t.max_repeats or 0) for r in rows}
-    weights, _, total = capped_weights(sizes, share, repeats, budget)
-    return [(s, share.get(s, 0.0), weights.get(s, 0.0), sizes.get(s, 0), repeats.get(s, 0), weights.get(s, 0.0) * total) for s in sorted(share.keys() | sizes.keys())]
+    weights, x, total = capped_weights(sizes, share, repeats, budget)
+    if target_entropy is not None and weights:
+        weights, x = temperature_weights({s: sizes[s] for s in weights}, target_entropy)
+        most = min(repeats[s] * sizes[s] / w for s, w in weights.items())
+        total = most if budget is None else min(budget, most)
+    return [(s, share.get(s, 0.0), weights.get(s, 0.0), sizes.get(s, 0), repeats.get(s, 0), weights.get(s, 0.0) * total) for s in sorted(share.keys() | sizes.keys())], x
+
+
+def _ends(docs: DataFrame, rests: dict[str, float]) -> list[tuple[str, int, int]]:
+    """Where the partial pass over each source ends: ``source, rank, doc_id`` of its last document, none where it takes nothing.
+
+    ``docs`` has ``source, doc_id, tokens, rank`` with ranks of 60 bits; ``rests`` says how many tokens a source may bring.
+    """
+    spark = docs.sparkSession
+    open_ = {s: (0, 0) for s in rests}  # the block that has to be cut, as the upper bits of its ranks, and the tokens before it
+    done: dict[str, tuple[int, int]] = {}
+    small: dict[str, tuple[int, int, int]] = {}
+    level = 0
+    while open_:
+        shift = 60 - BLOCK_BITS * (level + 1)
+        where = F.broadcast(spark.createDataFrame([(s, p, t, float(rests[s])) for s, (p, t) in open_.items()], "source string, above long, taken long, rest double"))
+        inside = docs.join(where, "source").where(F.shiftright("rank", shift + BLOCK_BITS) == F.col("above")) if level else docs.join(where, "source")
+        blocks = inside.groupBy("source", F.shiftright("rank", shift).alias("block"), "taken", "rest").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+        before = F.col("taken") + F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")
+        first = blocks.withColumn("before", before).where(F.col("before") + F.col("n") > F.col("rest")).groupBy("source").agg(F.min(F.struct("block", "before", "docs")).alias("b")).collect()
+        cut = {r.source: (r.b.block, r.b.before) for r in first}
+        done |= dict.fromkeys(open_.keys() - cut.keys(), (1 << 60, 0))  # the whole block fits, so everything does
+        small |= {r.source: (r.b.block, r.b.before, shift) for r in first if r.b.docs <= BLOCK_DOCS or shift == 0}
+        open_ = {s: c for s, c in cut.items() if s not in small}
+        level += 1
+    out = [(s, *end) for s, end in done.items()]
+    if small:
+        where = F.broadcast(spark.createDataFrame([(s, b, t, k, float(rests[s])) for s, (b, t, k) in small.items()], "source string, block long, taken long, shift int, rest double"))
+        run = F.col("taken") + F.sum("tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+        inside = docs.join(where, "source").where(F.expr("shiftright(rank, shift)") == F.col("block")).withColumn("run", run)
+        last = inside.groupBy("source", "block", "shift").agg(F.max(F.when(F.col("run") <= F.col("rest"), F.struct("rank", "doc_id"))).alias("e")).collect()
+        out += [(r.source, r.e.rank, r.e.doc_id) if r.e else (r.source, (r.block << r.shift) - 1, 1 << 62) for r in last]
+    return out
 
 
 _PLAN = "source string, target_share double, weight double, source_tokens long, max_repeats int, goal double"
 
 
-def mix(sized_documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1) -> DataFrame:
+def mix(sized_documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1, target_entropy: float | None = None) -> DataFrame:
     """``doc_id, source, tokens, copies``: the documents selected and how often each is used, at most ``max_repeats``.
 
     Documents without tokens and of sources without a target are left out.  A source gets
-    at most its goal, and misses it by less than its largest document next to the cut.
+    at most its goal, and misses it by less than its document next to the cut.
     The same seed gives the same selection, whatever the partitioning.
     """
     spark = sized_documents.sparkSession
-    goals = F.broadcast(spark.createDataFrame(plan(sized_documents, targets, budget), _PLAN).where("goal > 0"))
-    docs = sized_documents.where("tokens > 0").join(goals, "source")
-    rank = F.xxhash64(F.lit(seed), "doc_id")
-    docs = docs.withColumn("block", F.pmod(rank, F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.col("source_tokens") / (BLOCK_DOCS * 300))).cast("long")))
-    block = docs.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.max("source_tokens").alias("all"), F.max("goal").alias("goal"), F.max("max_repeats").alias("most"))
-    # whole passes, and what the partial pass still has to bring
-    block = block.withColumn("passes", F.least(F.col("most").cast("double"), F.floor(F.col("goal") / F.col("all") + 1e-9)).cast("int"))
-    rest = F.when(F.col("passes") < F.col("most"), F.col("goal") - F.col("passes") * F.col("all")).otherwise(0.0)
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")
-    cut = block.withColumn("rest", rest).withColumn("before", before).select("source", "block", "passes", "rest", "before", "n")
-    cut = durable(cut, "blocks").withColumn("whole", F.col("before") + F.col("n") <= F.col("rest")).withColumn("open", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-    joined = docs.select("doc_id", "source", "tokens", "block", rank.alias("rank")).join(sized(cut), ["source", "block"])
-    easy = joined.where("not open").withColumn("copies", F.col("passes") + F.col("whole").cast("int"))
-    run = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = joined.where("open").withColumn("run", run).withColumn("copies", F.col("passes") + (F.col("before") + F.col("run") <= F.col("rest")).cast("int"))
-    columns = ["doc_id", "source", "tokens", "copies"]
-    return easy.select(*columns).unionByName(edge.select(*columns)).where("copies > 0")
-
-
-def shares(selection: DataFrame, sized_documents: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:
-    """Per source: target, planned and reached share, tokens reached, documents and largest number of copies."""
+    parts, rests = [], {}
+    for source, _, _, size, most, goal in plan(sized_documents, targets, budget, target_entropy)[0]:
+        if goal > 0:
+            passes = min(most, int(goal / size + 1e-9))
+            parts.append((source, passes))
+            if passes < most:
+                rests[source] = goal - passes * size
+    whole = F.broadcast(spark.createDataFrame(parts, "source string, passes int"))
+    rank = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 4)
+    docs = sized_documents.where("tokens > 0").join(whole, "source").withColumn("rank", rank)
+    ends = F.broadcast(spark.createDataFrame(_ends(docs.select("source", "doc_id", "tokens", "rank"), rests), "source string, last long, last_doc long"))
+    more = F.coalesce((F.col("rank") < F.col("last")) | ((F.col("rank") == F.col("last")) & (F.col("doc_id") <= F.col("last_doc"))), F.lit(False))
+    return docs.join(ends, "source", "left").select("doc_id", "source", "tokens", (F.col("passes") + more.cast("int")).alias("copies")).where("copies > 0")
+
+
+def shares(selection: DataFrame, sized_documents: DataFrame, targets: DataFrame, budget: float | None = None, target_entropy: float | None = None) -> DataFrame:
+    """Per source: target, planned and reached share, tokens reached, documents, largest number of copies, and the exponent x of the weights."""
     spark = selection.sparkSession
-    planned = spark.createDataFrame(plan(sized_documents, targets, budget), _PLAN)
+    rows, x = plan(sized_documents, targets, budget, target_entropy)
+    planned = spark.createDataFrame(rows, _PLAN)
     got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     total = got.agg(F.sum("tokens").alias("all_tokens"))
-    return (
-        planned.join(F.broadcast(got), "source", "left")
-        .crossJoin(F.broadcast(total))
-        .select("source", "target_share", F.col("weight").alias("planned_share"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")
-    )
+    reached = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "most_copies")]
+    return planned.join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", F.col("weight").alias("planned_share"), reached.alias("reached_share"), *filled, "max_repeats", F.lit(x).alias("exponent"))

@@ -78,31 +78,40 @@ def p8_altered(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf, shingle=1, least=0.7).withColumn("similarity", F.round("similarity", 6))
 
 
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, float]:
+    """Token counts, targets, and as budget the tokens of all documents."""
+    sizes, targets = mixing.token_sizes(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")
+    return sizes, targets, float(sizes.agg(F.sum("tokens")).first()[0] or 0)
+
+
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact target shares, at the size that the scarcest source allows."""
-    return mixing.mix(mixing.token_sizes(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets"))
+    """As many tokens as the documents have, if the limits allow it, at the shares nearest to the targets by bisected temperature."""
+    return mixing.mix(*_mixture(spark, sf))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    sizes, targets = mixing.token_sizes(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")
-    return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
+    """Target, planned and reached shares of p9_selection, and its exponent."""
+    sizes, targets, budget = _mixture(spark, sf)
+    return mixing.shares(mixing.mix(sizes, targets, budget), sizes, targets, budget)
 
 
-def _tempered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, float]:
-    sizes, targets = mixing.token_sizes(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")
-    return sizes, targets, float(sizes.agg(F.sum("tokens")).first()[0] or 0)
+def p9_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact target shares, at the size that the scarcest source allows."""
+    sizes, targets, _ = _mixture(spark, sf)
+    return mixing.mix(sizes, targets)
 
 
-def p9_tempered(spark: SparkSession, sf: str) -> DataFrame:
-    """As many tokens as the documents have, if the limits allow it, at the shares nearest to the targets by bisected temperature."""
-    sizes, targets, budget = _tempered(spark, sf)
-    return mixing.mix(sizes, targets, budget)
+def p9_exact_shares(spark: SparkSession, sf: str) -> DataFrame:
+    sizes, targets, _ = _mixture(spark, sf)
+    return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
 
 
-def p9_tempered_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Target, planned and reached shares of p9_tempered."""
-    sizes, targets, budget = _tempered(spark, sf)
-    return mixing.shares(mixing.mix(sizes, targets, budget), sizes, targets, budget)
+def p9_entropy_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Own shares of the sources, exponentiated until they are as even as the targets (same entropy)."""
+    sizes, targets, budget = _mixture(spark, sf)
+    shares = {r.source: r.s for r in targets.select(mixing.source_name(F.col("source")).alias("source"), F.col("target_share").alias("s")).groupBy("source").agg(F.max("s").alias("s")).where("s > 0").limit(mixing.MAX_SOURCES).collect()}
+    goal = mixing.entropy({s: x / sum(shares.values()) for s, x in shares.items()})
+    return mixing.shares(mixing.mix(sizes, targets, budget, target_entropy=goal), sizes, targets, budget, goal)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +129,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p8_altered, p9_selection, p9_shares, p9_tempered, p9_tempered_shares, p10_found, p10_passages, p10_coverage)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p7_found, p7_reasons, p8_found, p8_leaks, p8_altered, p9_selection, p9_shares, p9_exact, p9_exact_shares, p9_entropy_shares, p10_found, p10_passages, p10_coverage)}
 
 
 _TERMS = """
