@@ -17,23 +17,35 @@ from weftgraph.llm import codefiles, leakage, mixing, spans
 @pytest.mark.parametrize(
     ("path", "lang", "why"),
     [
-        ("/r/Vendor/x/a.go", "go", "vendored"), ("C:\\r\\node_modules\\@a\\b\\i.js", None, "vendored"), ("/r/go/pkg/mod/x@v1.2.3/a.go", "go", "vendored"), ("/r/js/libs/x-1.2.3.js", "javascript", "vendored"),
+        ("/r/Vendor/x/a.go", "go", "vendored"), ("/r/internal/vendor/invoice.py", "python", None), ("src/external/client.py", "python", None), ("/r/external/zlib/a.c", "c", "vendored"), ("/r/src/external/zlib/a.c", "c", None), ("/r/lib/jquery.slim.js", None, "vendored"), ("/r/x/gen-py/a.py", None, "generated"), ("/r/x.pb.dart", None, "generated"), ("/r/a_pb2_grpc.pyi", None, "generated"), ("/r/static/js/2.chunk.f3a.js", None, "minified"), ("/r/models/sales_dataset.py", "python", None), ("/r/assets/sales_dataset.py", "python", "data"), ("C:\\r\\node_modules\\@a\\b\\i.js", None, "vendored"), ("/r/go/pkg/mod/x@v1.2.3/a.go", "go", "vendored"), ("/r/js/libs/x-1.2.3.js", "javascript", "vendored"),
         ("/r/api/a_pb2.py", "python", "generated"), ("/r/gen-src/A.java", "java", "generated"), ("/r/db/migrations/0007_auto_20240101_0102.py", "python", "generated"), ("/r/x/zz_generated.a.go", "go", "generated"), ("/r/package-lock.json", None, "generated"),
-        ("/r/static/a.MIN.js", "javascript", "minified"), ("/r/x/a.17739a96.chunk.js", None, "minified"), ("/r/x/a-17739a96.js", None, "minified"), ("/r/data/a_blob.js", "text", "data"), ("/r/x/a.py", "CSV ", "data"), ("/r/x/embedded_a_bytes.go", "go", "data"),
+        ("/r/static/a.MIN.js", "javascript", "minified"), ("/r/x/a.17739a96.chunk.js", None, "minified"), ("/r/x/a-17739a96.js", None, "minified"), ("/r/data/a_blob.js", "text", "data"), ("/r/x/a.py", "CSV ", "data"), ("/r/assets/embedded_a_bytes.go", "go", "data"),
         ("/r/vendor_portal/a.py", "python", None), ("/r/x/generator_a.py", "python", None), ("/r/x/test_generated_a_ids.py", "python", None), ("/r/x/packed_a_reader.js", "javascript", None), ("/r/x/minimap_a.go", "go", None), ("/r/deps_graph/a.py", "python", None),
         ("/r/migrations/0001_initial.py", "python", None), ("/r/x/a.py", None, None), ("", "python", None), (None, "python", None), ("/r/x/notes.txt", "text", None), ("/r/x/feedfacedeed.js", "javascript", None),
     ],
 )
 def test_classify(path, lang, why):
-    assert codefiles.classify(path, lang, codefiles.automaton()) == why
+    assert codefiles.classify(path, lang, codefiles.path_automaton()) == why
+
+
+@pytest.mark.parametrize(
+    ("head", "said"),
+    [
+        ("// Code generated by protoc-gen-go. DO NOT EDIT.", True), ("/*\n" + " * licence text\n" * 500 + " * @Generated\n */", True), ("# Generated by Django 4.2 on 2024-01-01", True), ("\n\n-- produced by sqlgen", True),
+        ("# tests cover rows generated by the fixture", False), ('x = "do not edit"', False), ("İ" * 30 + "\n# AUTO-GENERATED", True), ("", False), (None, False), ("def do(): pass", False),
+    ],
+)
+def test_notices(head, said):
+    assert codefiles.has_notice(head, codefiles.notice_automaton()) == said
 
 
 def test_not_hand_written(spark):
-    rows = [(1, " CODE ", "/r/vendor/a.py", "python", None), (1, "code", "/r/vendor/a.py", None, None), (2, "docs", "/r/vendor/a.md", "en", None), (3, "code", "/r/a.py", "python", "# AUTO-GENERATED, do not edit"), (4, None, "/r/vendor/a.py", None, None), (None, "code", "/r/vendor/a.py", None, None), (5, "code", "/r/a.py", "python", "x")]
-    df = spark.createDataFrame(rows, "id long, kind string, path string, lang string, head string")
+    rows = [(1, " CODE ", "/r/vendor/x/a.py", "python"), (1, "code", "/r/vendor/x/a.py", None), (2, "docs", "/r/vendor/x/a.md", "en"), (3, "code", "/r/a.py", "python"), (4, None, "/r/vendor/x/a.py", None), (None, "code", "/r/vendor/x/a.py", None), (5, "code", "/r/a.py", "python")]
+    df = spark.createDataFrame(rows, "id long, kind string, path string, lang string").withColumn("reason", F.lit("x"))
+    heads = spark.createDataFrame([(1, "# do not edit"), (2, "# do not edit"), (3, "# AUTO-GENERATED, do not edit"), (3, None), (5, "x"), (None, "# do not edit")], "artifact_id long, text string")
     assert {tuple(r) for r in codefiles.not_hand_written(df).collect()} == {(1, "vendored")}
-    assert {tuple(r) for r in codefiles.not_hand_written(df, "head").collect()} == {(1, "vendored"), (3, "generated")}
-    assert codefiles.not_hand_written(df.limit(0)).count() == 0
+    assert {tuple(r) for r in codefiles.not_hand_written(df, heads).collect()} == {(1, "vendored"), (3, "notice")}
+    assert codefiles.not_hand_written(df.limit(0), heads).count() == 0
 
 
 # ---- leakage ----

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +53,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.components(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return codefiles.not_hand_written(_table(spark, sf, "artifacts")).select("artifact_id")
+def p7_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """By path and lang, and by the notices in the first chunk of a file."""
+    heads = _table(spark, sf, "chunks").where("start_line = 1").select("artifact_id", "text")
+    return codefiles.not_hand_written(_table(spark, sf, "artifacts"), heads)
 
 
-def p7_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return codefiles.not_hand_written(_table(spark, sf, "artifacts"))
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_reasons(spark, sf).select("artifact_id")
 
 
 def _leaks(spark: SparkSession, sf: str, **how: float) -> DataFrame:
@@ -185,6 +188,38 @@ SELECT id AS entity_id, min(r) AS group_id FROM reach GROUP BY id
 """
 
 
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
+def _reasons_sql() -> str:
+    """The rules of the code files as expressions: ``p`` is the path with a slash before it, ``n`` its last part."""
+    hit = lambda column, pattern: f"regexp_matches({column}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+    c = codefiles
+    place = f"regexp_extract(p, '^(.*?)/{_any(c.OUTSIDE)}/[^/]+/', 1)"
+    cases = [
+        (hit("p", f"/{_any(c.INSTALLED)}/"), "vendored"), (hit("p", f"/{_any(c.VENDORED)}/[^/]+/"), "vendored"),
+        (f"{hit('p', f'/{_any(c.OUTSIDE)}/[^/]+/')} AND NOT regexp_matches({place} || '/', '/{_any(c.SOURCE_TREE)}/')", "vendored"),
+        (hit("p", f"/{_any(c.GENERATED)}/"), "generated"), (hit("p", f"/{_any(c.BUNDLED)}/"), "minified"), (hit("n", f"{_any(c.GENERATED_ENDINGS)}$"), "generated"),
+        (hit("n", f"{_any(c.MINIFIED_ENDINGS)}$"), "minified"), (hit("n", f"^{_any(c.LOCK_FILES)}$"), "generated"),
+    ]
+    for column, rules in (("n", c.BY_NAME), ("p", c.BY_PATH)):
+        for why, pattern in rules:
+            plain = pattern.replace("(?=[a-f]*[0-9])", "")  # this dialect looks at what it found instead
+            also = f" AND regexp_matches(regexp_extract({column}, '{plain}'), '[0-9]')" if plain != pattern else ""
+            cases.append((hit(column, plain) + also, why))
+    data = ", ".join(f"'{x}'" for x in c.DATA_LANGS)
+    cases.append((f"lower(trim(lang)) IN ({data}) AND {hit('n', c._SOURCE)}", "data"))
+    whens = "\n".join(f"WHEN {test} THEN '{why}'" for test, why in cases)
+    notice = f"(?m){c.COMMENT}(?:[^\\n]*{_any(c.NOTICES)}|{_any(c.OPENINGS)})"
+    return f"""
+WITH f AS (SELECT DISTINCT id AS artifact_id, lang, '/' || array_to_string(list_filter(string_split(replace(lower(path), chr(92), '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM artifacts WHERE lower(trim(kind)) = 'code' AND id IS NOT NULL),
+r AS (SELECT artifact_id, CASE {whens} END AS reason FROM (SELECT *, string_split(p, '/')[-1] AS n FROM f)),
+h AS (SELECT DISTINCT artifact_id FROM chunks WHERE start_line = 1 AND {hit("lower(text)", notice)})
+SELECT artifact_id, coalesce(min(reason), 'notice') AS reason FROM (SELECT artifact_id, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT f.artifact_id, NULL FROM f JOIN h USING (artifact_id)) GROUP BY artifact_id
+"""
+
+
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _LEAKS = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
@@ -203,5 +238,7 @@ def oracle_sql() -> dict[str, str]:
             round(n_ab::DOUBLE * n_chunks::DOUBLE / (n_a::DOUBLE * n_b::DOUBLE), 6) AS lift,
             round(CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / n_chunks::DOUBLE) / (1 - n_ab::DOUBLE / n_a::DOUBLE) END, 6) AS conviction FROM scored""",
         "p6_found": _GROUPS,
+        "p7_reasons": _reasons_sql(),
+        "p7_found": f"SELECT artifact_id FROM ({_reasons_sql()})",
         "p8_found": _LEAKS,
     }
