@@ -1,14 +1,18 @@
 """Variant spellings of the names of persons and organisations.
 
 1. Names are parsed: titles, legal forms, articles and connectors fall away, accents and
-   case too; nicknames and abbreviations stand for what they abbreviate; parts get an
-   order.  What is left is a key, and copies of a key count once from here on.
-2. Pigeonhole join: a key is cut into ``k + 1`` segments.  A key within ``k`` edits of it
-   keeps one segment unchanged, shifted by at most ``k``.  Segments go into an inverted
-   index (one row per key and segment), substrings of the possible lengths and shifts are
-   looked up there, and what meets is verified by a banded edit distance.
-3. Linked keys form groups.  Short forms (an initial, a surname alone, initials of an
-   organisation) join a group if exactly one of their workspace fits.
+   case too; a nickname of one given name only stands for that; parts get an order.  What
+   is left is a key of two parts (given name and surname, or what an organisation does and
+   its own words), and copies of a key count once from here on.
+2. Pigeonhole join for one slip (``k = 1``): a name that is one slip off another has one of
+   its two parts unchanged.  The other part is cut into ``k + 1`` segments, of which the
+   slip leaves one unchanged, shifted by at most one; a letter between the segments belongs to
+   neither, so that swapped neighbours do not break both.  Segments go into an inverted index under their
+   part, the substrings of the possible lengths and shifts are looked up there, and what
+   meets is verified by a banded edit distance.
+3. Linked keys form groups.  What is not sure by itself joins a group only if exactly one
+   of its workspace fits: a nickname of several given names, an unknown given name close to a nickname,
+   a word shortened by rule, and short forms (an initial, a surname alone, initials of an organisation).
 
 Nothing compares all names of a block with each other; a key with a third of all rows is
 one row after step 1.
@@ -136,6 +140,9 @@ NICKNAMES = {
     "william": "bill will billy willy liam",
 }
 
+#: Forms of a given name from which on it counts as one that people have, and how many times rarer a slip of it is.
+OFTEN, MUCH = 3, 10
+
 _FORMAL: dict[str, set[str]] = {}
 for _name, _short in NICKNAMES.items():
     _FORMAL.setdefault(_name, set()).add(_name)
@@ -180,12 +187,19 @@ def plain(text: str) -> str:
 
 
 @lru_cache(100_000)
-def formal(given: str) -> tuple[str, ...]:
-    """Given names that ``given`` may stand for: itself, and what it is short for (one slip allowed in longer nicknames)."""
+def formal(given: str) -> tuple[str, tuple[str, ...]]:
+    """The given name that ``given`` stands for, and those it may stand for too.
+
+    A given name stands for itself, a nickname of one given name for that.  A nickname of
+    several, and a word one slip off longer nicknames, stand for themselves and may stand for those.
+    """
+    if given in NICKNAMES:
+        return given, ()
     if given in _FORMAL:
-        return tuple(sorted(_FORMAL[given] | {given}))
+        names = tuple(sorted(_FORMAL[given]))
+        return (names[0], ()) if len(names) == 1 else (given, names)
     near = {f for n, fs in _FORMAL.items() if len(n) >= 4 and n not in NICKNAMES and osa(n, given, 1) <= 1 for f in fs} if len(given) >= 4 else set()
-    return tuple(sorted(near | {given}))
+    return given, tuple(sorted(near))
 
 
 @lru_cache(100_000)
@@ -210,8 +224,15 @@ def _tokens(text: str) -> list[str]:
     return [t for t in re.split(r"[^\w']+", text.replace("_", " ").replace("'", "")) if t]
 
 
+def _reading(form: str, given: str, surname: str, initials: str, alt: str = "", maybe: str = "") -> dict:
+    return {"form": form, "given": given, "surname": surname, "initials": initials, "alt": alt, "maybe": maybe}
+
+
 def parse_person(name: str) -> list[dict]:
-    """Readings of a person's name: full (given and surname) or short (surname, perhaps with initials)."""
+    """The reading of a person's name, if any: full (given and surname) or short (surname, perhaps with initials).
+
+    ``alt`` is the reading in turned order, ``maybe`` lists readings that are not sure, as lines of given and surname.
+    """
     text = plain(name).replace("_", " ")
     head, comma, tail = text.partition(",")
     if comma and not [t for t in _tokens(tail) if t not in TITLES]:
@@ -223,30 +244,25 @@ def parse_person(name: str) -> list[dict]:
     short = lambda t: len(t) == 1 or (len(t) <= 3 and t in dotted)
     long_ = [t for t in tokens if not short(t)]
     letters = "".join(t for t in tokens if short(t))
-    if comma:
-        surname = "".join(surname_first)
-        if not surname:
-            return []
-        if long_:
-            return [{"form": "full", "given": g, "surname": surname, "initials": letters, "alt": ""} for g in formal(long_[0])]
-        return [{"form": "short", "given": "", "surname": surname, "initials": letters, "alt": ""}]
-    if not long_:
+    surname = "".join(surname_first) if comma else (long_[-1] if long_ else "")
+    if not surname:
         return []
-    if len(long_) == 1:
-        return [{"form": "short", "given": "", "surname": long_[0], "initials": letters, "alt": ""}]
-    first, last = long_[0], long_[-1]
-    out = [{"form": "full", "given": g, "surname": last, "initials": letters, "alt": ""} for g in formal(first)]
-    if not letters:  # the order may be turned
-        for g in formal(last):
-            out[0]["alt"] += f"\n{g} {first}"
-    return out
+    if not long_ or (not comma and len(long_) == 1):
+        return [_reading("short", "", surname, letters)]
+    given, may = formal(long_[0])
+    maybe, alt = [f"{g} {surname}" for g in may], ""
+    if not comma and not letters:  # the order may be turned
+        turned, also = formal(surname)
+        alt = f"{turned} {long_[0]}"
+        maybe += [f"{g} {long_[0]}" for g in also]
+    return [_reading("full", given, surname, letters, alt, "\n".join(maybe))]
 
 
 def parse_org(name: str) -> list[dict]:
     """Readings of an organisation's name: its own words, what it does, and initials if it is a short form."""
     text = plain(name)
     if m := _ACRONYM.match(name.strip()):
-        return [{"form": "short", "given": "", "surname": plain(m[2]), "initials": plain(m[1]), "alt": ""}]
+        return [_reading("short", "", plain(m[2]), plain(m[1]))]
     tokens = [t for t in _tokens(text) if t not in CONNECTORS]
     dotted = {r.replace(".", "") for r in re.findall(r"\b(?:\w\.)+(?:\w\b)?", text)}
     sector, core, letters = "", [], ""
@@ -267,8 +283,8 @@ def parse_org(name: str) -> list[dict]:
     if not core:
         return []
     if letters:
-        return [{"form": "short", "given": sector, "surname": core[0], "initials": letters, "alt": " ".join(core)}]
-    return [{"form": "full", "given": sector, "surname": " ".join(core), "initials": "", "alt": "".join(reversed(core)) if len(core) == 2 else ""}]
+        return [_reading("short", sector, core[0], letters)]
+    return [_reading("full", sector, " ".join(core), "", "".join(reversed(core)) if len(core) == 2 else "")]
 
 
 def is_org(name: str) -> bool:
@@ -276,7 +292,7 @@ def is_org(name: str) -> bool:
     return any(_LEGAL.get(t) or _SECTOR.get(t) or _word(t, "legal") or _word(t, "sector") for t in _tokens(plain(name))) or bool(re.search(r"[&+]", name) or _ACRONYM.match(name.strip()))
 
 
-_PARSED = "id long, scope string, kind string, form string, key string, alt string, given string, surname string, initials string"
+_PARSED = "id long, scope string, kind string, form string, given string, surname string, initials string, alt string, maybe string"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,76 +303,53 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, scope, name, etype in zip(*(c.to_pylist() for c in batch.columns)):
             label = etype.strip().lower()
             org = label in ORG_TYPES or (label in EITHER_TYPES and is_org(name))
-            readings = parse_org(name) if org else parse_person(name)
-            both = [] if org or label not in EITHER_TYPES else [r | {"org": True} for r in parse_org(name) if r["form"] == "short" and len(r["initials"]) > 1]
-            for r in readings + both:
-                org = r.get("org", org)
-                key = r["surname"].replace(" ", "") if org else f"{r['given']} {r['surname']}"
-                if r["form"] == "short":
-                    key = r["surname"]
-                out.append((i, scope, "org" if org else "person", r["form"], key, r["alt"], r["given"], r["surname"], r["initials"]))
+            readings = [(org, r) for r in (parse_org(name) if org else parse_person(name))]
+            if not org and label in EITHER_TYPES:
+                readings += [(True, r) for r in parse_org(name) if r["form"] == "short" and len(r["initials"]) > 1]
+            out += [(i, scope, "org" if o else "person", *(r[n] for n in names[3:])) for o, r in readings]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
 
 
-def pigeonhole_pairs(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """``block, key, probe``: keys and probes of a block within ``k`` Levenshtein edits, distinct.
+def slip_distance(a: Column, b: Column) -> Column:
+    """0 for equal texts, 1 for texts one slip apart (insert, delete, replace, swap neighbours), else null."""
+    edits = F.levenshtein(a, b, 2)
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
+    at = F.array_position(differ, True).cast("int")
+    swapped = (F.substring(a, at, F.lit(1)) == F.substring(b, at + 1, F.lit(1))) & (F.substring(a, at + 1, F.lit(1)) == F.substring(b, at, F.lit(1))) & (F.size(F.filter(differ, lambda x: x)) == 2)
+    return F.when((edits >= 0) & (edits <= 1), edits).when((edits == 2) & (F.length(a) == F.length(b)) & swapped, 1)
 
-    ``index`` has ``block, key`` and ``probes`` has ``block, probe``; both are made
-    distinct here.  Null and empty strings match nothing; equal strings match.  A probe
-    looks for keys of its own length and up to ``k`` shorter or longer.
 
-    With ``c`` segments of the key before the one that stays, at most ``c`` edits lie
-    before it and ``k - c`` after it, or another segment stays too; so only shifts
-    with ``|shift| <= c`` and ``|shift - difference of lengths| <= k - c`` are looked up.
-    Keys shorter than ``k + 1`` have no segments; they meet probes of up to ``2 * k``
-    characters of their block, of which there are few distinct ones.
-    """
-    parts = k + 1
-    keys = index.select("block", "key").where("key <> '' and block is not null").distinct().withColumn("n", F.length("key"))
-    asks = probes.select("block", "probe").where("probe <> '' and block is not null").distinct().withColumn("m", F.length("probe"))
+def slip_pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """Rows of ``index`` (``head, key, ...``) and ``probes`` (``head, probe, again, ...``) with equal heads and at most one slip between key and probe, with ``distance``.
 
-    def start(n: Column, c: int) -> Column:
-        base, extra = F.floor(n / parts), n % parts
-        return (base * c + F.greatest(F.lit(0), F.lit(c) - (F.lit(parts) - extra))).cast("int")
+    A key of ``n`` letters has the segments of ``(n - 1) // 2`` letters at its beginning and of
+    ``n - 1 - (n - 1) // 2`` at its end; a slip, wherever it is, leaves one of them as it was, at the same
+    distance from the beginning or from the end.  So a probe of ``m`` letters looks for keys of
+    ``m - 1``, ``m`` and ``m + 1`` letters by two segments each.  Where ``again`` is true the
+    probe is itself in the index and leaves shorter keys to find it.  Null and empty keys and probes match
+    nothing.  Pairs may come twice.
+    """
+    front = lambda n: F.floor((n - 1) / 2).cast("int")
+    back = lambda n: (n - 1 - F.floor((n - 1) / 2)).cast("int")
 
-    def size(n: Column, c: int) -> Column:
-        return (F.floor(n / parts) + F.when(F.lit(c) >= F.lit(parts) - n % parts, 1).otherwise(0)).cast("int")
+    def entry(head: Column, n: Column, side: int, segment: Column) -> Column:
+        return F.struct(F.xxhash64(head, n, F.lit(side), segment).alias("h1"), F.xxhash64(F.lit(side), segment, n, head).alias("h2"))
 
-    n, m = F.col("n"), F.col("m")
-    cut = [F.struct(F.lit(c).alias("c"), F.substring(F.col("key"), start(n, c) + 1, size(n, c)).alias("seg")) for c in range(parts)]
-    tiny = F.array(F.struct(F.lit(-1).alias("c"), F.lit("").alias("seg")))
-    left = keys.select("block", "key", "n", F.inline(F.when(n > k, F.array(*cut)).otherwise(tiny)))
+    head, key, probe = F.col("head"), F.col("key"), F.col("probe")
+    n, m = F.length(key), F.length(probe)
+    own = F.array(entry(head, n, 0, F.substring(key, F.lit(1), front(n))), entry(head, n, 1, F.substring(key, n - back(n) + 1, back(n))))
+    left = index.where("key <> '' and head is not null").select("*", F.inline(own)).drop("head")
     look = []
-    for delta in range(-k, k + 1):  # length of the probe minus that of the key
-        length = m - delta
-        for c in range(parts):
-            for shift in range(-c, c + 1):
-                if abs(delta - shift) <= k - c:
-                    at = start(length, c) + shift
-                    look.append(F.when((length > k) & (at >= 0) & (at + size(length, c) <= m), F.struct(length.cast("int").alias("n"), F.lit(c).alias("c"), F.substring(F.col("probe"), at + 1, size(length, c)).alias("seg"))))
-    for short in range(1, k + 1):
-        look.append(F.when(F.abs(m - short) <= k, F.struct(F.lit(short).alias("n"), F.lit(-1).alias("c"), F.lit("").alias("seg"))))
-    right = asks.select("block", "probe", F.inline(F.filter(F.array(*look), lambda x: x.isNotNull())))
-    met = left.join(right.distinct(), ["block", "n", "c", "seg"]).where(F.levenshtein("key", "probe", k) >= 0)
-    return met.select("block", "key", "probe").distinct()
-
-
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps rows whose ``key`` and ``probe`` are one slip apart and whose initials agree; adds ``distance``."""
-    for batch in batches:
-        col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        d = [osa(a, b, 1) for a, b in zip(col["key"], col["probe"])]
-        keep = [k for k, x in enumerate(d) if x <= 1]
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for k in keep], pa.int32()), *(batch.column(n).take(pa.array(keep, pa.int64())) for n in ("block", "key", "probe"))], names=["distance", "block", "key", "probe"])
-
-
-def near_pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """``distance, block, key, probe`` of pairs at most one slip apart; two neighbours swapped are one slip (two edits)."""
-    return pigeonhole_pairs(index, probes, 2).mapInArrow(_close, "distance int, block string, key string, probe string")
+    for delta in (-1, 0, 1):
+        k = m + delta
+        fits = (k >= 1) & (F.lit(delta >= 0) | ~F.col("again"))
+        look += [F.when(fits, entry(head, k, 0, F.substring(probe, F.lit(1), front(k)))), F.when(fits, entry(head, k, 1, F.substring(probe, m - back(k) + 1, back(k))))]
+    right = probes.where("probe <> '' and head is not null").select("*", F.inline(F.filter(F.array(*look), lambda x: x.isNotNull()))).drop("head")
+    return left.join(right, ["h1", "h2"]).withColumn("distance", slip_distance(key, probe)).where("distance is not null").drop("h1", "h2")
 
 
 def _fits(kind: Column) -> Column:
-    """Whether a short form's initials agree with a full form's words (columns ``initials``, ``s_given``, ``s_alt``, ``given``, ``surname``, ``f_initials``)."""
+    """Whether a short form's initials agree with a full form's words (columns ``initials``, ``s_given``, ``given``, ``surname``, ``f_initials``)."""
     given = F.concat(F.substring("given", 1, 1), F.col("f_initials"))
     letters = F.col("initials")
     both = F.least(F.length(letters), F.length(given))
@@ -370,6 +363,30 @@ def _fits(kind: Column) -> Column:
     return F.when(kind == "person", person).otherwise(org)
 
 
+def _sole(meet: DataFrame, who: str) -> DataFrame:
+    """``a, b``: ``who`` and its group (``distance, group_id``), where the nearest that fits is one group only."""
+    best = meet.groupBy(who, "distance").agg(F.min("group_id").alias("lo"), F.max("group_id").alias("hi")).groupBy(who).agg(F.min(F.struct("distance", "lo", "hi")).alias("m"))
+    return best.where("m.lo = m.hi").select(F.col(who).alias("a"), F.col("m.lo").alias("b"))
+
+
+def shortened(full: DataFrame) -> DataFrame:
+    """``rep, distance, group_id``: organisations that share all words but one with another, whose word theirs is short for.
+
+    A word is short for a longer one with the same first letter that begins with it, or that
+    has all its letters in order, if those after the first are no vowels (Frt, Wks, Mfg).
+    ``full`` has ``rep, group_id, scope, given, surname`` of organisations.
+    """
+    words = full.withColumn("words", F.split("surname", " ")).where(F.size("words") > 1)
+    around = F.concat_ws("\n", "scope", "given", F.array_join(F.transform("words", lambda w, i: F.when(i == F.col("at"), F.concat(F.lit("\t"), F.substring(w, 1, 1))).otherwise(w)), " "))
+    each = words.select("*", F.posexplode("words").alias("at", "word")).withColumn("around", around).select("rep", "group_id", "around", "word")
+    tail = F.expr("substring(word, 2)")
+    brief = each.where(F.length("word").between(2, 6)).select("around", F.col("rep").alias("short"), F.col("word").alias("brief"), (~tail.rlike("[aeiou]")).alias("bare"))
+    meet = each.join(brief, "around").where(F.length("word") >= F.length("brief") + 2)
+    spaced = F.concat(F.lit("^"), F.regexp_replace("brief", "(.)", "$1.*"))
+    is_short = F.startswith("word", "brief") | (F.col("bare") & F.regexp_like("word", spaced))
+    return meet.where("brief rlike '^[a-z]+$'").where(is_short).select(F.col("short").alias("rep"), F.lit(0).alias("distance"), "group_id")
+
+
 def name_groups(entities: DataFrame) -> DataFrame:
     """``entity_id, group_id``: persons and organisations of a workspace that have several rows or spellings.
 
@@ -381,32 +398,51 @@ def name_groups(entities: DataFrame) -> DataFrame:
     parsed = durable(rows.mapInArrow(_parse, _PARSED), "names")
 
     # copies: one row per reading, the smallest id stands for it
-    reading = ["scope", "kind", "form", "key", "alt", "given", "surname", "initials"]
+    reading = ["scope", "kind", "form", "given", "surname", "initials", "alt", "maybe"]
     forms = durable(parsed.groupBy(*reading).agg(F.min("id").alias("rep")), "forms")
     same = parsed.join(forms, reading).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    full = forms.where("form = 'full'").withColumn("block", F.concat_ws("\n", "scope", "kind", F.when(F.col("kind") == "org", F.col("given")).otherwise("")))
-    turned = full.select("block", F.explode(F.array_distinct(F.concat(F.array("key"), F.filter(F.split("alt", "\n"), lambda x: x != "")))).alias("probe"), F.col("rep").alias("b"), F.col("initials").alias("i_b"))
-    near = near_pairs(full.select("block", "key"), turned.select("block", "probe"))
+    # full forms: one part equal, the other at most one slip off
+    head = lambda part: F.concat_ws("\n", "scope", "kind", part)
+    full = forms.where("form = 'full'").select("*", F.when(F.col("kind") == "org", F.replace("surname", F.lit(" "), F.lit(""))).otherwise(F.col("surname")).alias("own"))
+    persons = full.where("kind = 'person'")
+    turn = F.split("alt", " ")
+    turned = persons.where("alt <> ''").select("scope", "kind", "rep", "initials", turn[0].alias("given"), turn[1].alias("own")).unionByName(full.where("kind = 'org' and alt <> ''").select("scope", "kind", "rep", "initials", "given", F.col("alt").alias("own")))
+    asks = full.select("scope", "kind", "rep", "initials", "given", "own", F.lit(True).alias("again")).unionByName(turned.withColumn("again", F.lit(False)))
+    by_own = slip_pairs(full.select(head("given").alias("head"), F.col("own").alias("key"), F.col("rep").alias("a"), F.col("initials").alias("i_a")), asks.select(head("given").alias("head"), F.col("own").alias("probe"), "again", F.col("rep").alias("b"), F.col("initials").alias("i_b")))
+    by_given = slip_pairs(
+        persons.select(head("own").alias("head"), F.col("given").alias("key"), F.col("rep").alias("a"), F.col("initials").alias("i_a")),
+        asks.where("kind = 'person'").select(head("own").alias("head"), F.col("given").alias("probe"), "again", F.col("rep").alias("b"), F.col("initials").alias("i_b")),
+    ).where("distance = 1")
+    # two given names that both occur often are two names, not one and its slip
+    often = durable(persons.groupBy("given").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN), "often")
+    by_given = by_given.join(often.toDF("key", "n_key"), "key", "left").join(often.toDF("probe", "n_probe"), "probe", "left").where(f"n_key is null or n_probe is null or least(n_key, n_probe) * {MUCH} < greatest(n_key, n_probe)")
     agree = (F.col("i_a") == "") | (F.col("i_b") == "") | (F.col("i_a") == F.col("i_b"))
-    links = near.join(full.select("block", "key", F.col("rep").alias("a"), F.col("initials").alias("i_a")), ["block", "key"]).join(turned, ["block", "probe"]).where((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("key") != F.col("probe")))).where(agree).select("a", "b")
+    links = by_own.select("a", "b", "i_a", "i_b").unionByName(by_given.select("a", "b", "i_a", "i_b")).where(agree & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     strong = durable(links.distinct().unionByName(same).distinct(), "links")
-    groups = components(strong)
+
+    # uncertain readings of full forms
+    grouped = lambda links: full.join(components(links).withColumnRenamed("entity_id", "rep"), "rep", "left").withColumn("group_id", F.coalesce("group_id", "rep"))
+    sure = durable(grouped(strong), "sure")
+    maybe = persons.where("maybe <> ''").select("scope", "kind", "initials", F.col("rep").alias("short"), F.explode(F.split("maybe", "\n")).alias("r")).select("*", F.split("r", " ")[0].alias("given"), F.split("r", " ")[1].alias("own"))
+    read = slip_pairs(
+        sure.where("kind = 'person'").select(head("given").alias("head"), F.col("own").alias("key"), "group_id", F.col("initials").alias("i_a")),
+        maybe.select(head("given").alias("head"), F.col("own").alias("probe"), F.lit(False).alias("again"), "short", F.col("initials").alias("i_b")),
+    ).where(agree).select(F.col("short").alias("rep"), "distance", "group_id")
+    told = _sole(read.unionByName(shortened(sure.where("kind = 'org'"))), "rep")
+    linked = durable(strong.unionByName(told), "told")
 
     # short forms: where exactly one group of the workspace fits
-    group = full.select("rep", "scope", "kind", "given", "surname", F.col("initials").alias("f_initials")).join(groups.withColumnRenamed("entity_id", "rep"), "rep", "left").withColumn("group_id", F.coalesce("group_id", "rep"))
-    block = F.concat_ws("\n", "scope", "kind")
-    words = group.withColumn("block", block).withColumn("key", F.explode(F.when(F.col("kind") == "person", F.array("surname")).otherwise(F.split("surname", " "))))
-    words = durable(words, "words")
-    short = forms.where("form = 'short'").select(block.alias("block"), F.col("key").alias("probe"), F.col("rep").alias("short"), "initials", F.col("given").alias("s_given"), F.col("alt").alias("s_alt"), "kind")
-    meet = near_pairs(words.select("block", "key"), short.select("block", "probe")).join(short, ["block", "probe"]).join(words.drop("kind", "scope"), ["block", "key"]).where(_fits(F.col("kind")))
-    best = meet.groupBy("short", "distance").agg(F.min("group_id").alias("lo"), F.max("group_id").alias("hi")).groupBy("short").agg(F.min(F.struct("distance", "lo", "hi")).alias("m"))
-    joined = best.where("m.lo = m.hi").select(F.col("short").alias("a"), F.col("m.lo").alias("b"))
+    group = grouped(linked)
+    words = group.select("kind", "given", "surname", F.col("initials").alias("f_initials"), "group_id", head(F.lit("")).alias("head"), F.explode(F.when(F.col("kind") == "person", F.array("surname")).otherwise(F.split("surname", " "))).alias("key"))
+    short = durable(forms.where("form = 'short'").select(head(F.lit("")).alias("head"), F.col("surname").alias("probe"), F.lit(False).alias("again"), F.col("rep").alias("short"), "initials", F.col("given").alias("s_given"), F.col("kind").alias("s_kind")), "short")
+    meet = durable(slip_pairs(words, short).where(_fits(F.col("kind"))).select("short", "distance", "group_id"), "meet")
+    joined = _sole(meet, "short")
     # short forms that fit no group belong together if they agree among themselves
-    lone = short.join(best.select("short"), "short", "left_anti").where("kind = 'person'")
-    peers = lone.groupBy("block", "probe").agg(F.min("short").alias("b"), F.countDistinct(F.when(F.col("initials") != "", F.substring("initials", 1, 1))).alias("letters")).where("letters <= 1")
-    alone = lone.join(peers, ["block", "probe"]).where("short <> b").select(F.col("short").alias("a"), "b")
-    return components(strong.unionByName(joined).unionByName(alone))
+    lone = short.join(meet.select("short").distinct(), "short", "left_anti").where("s_kind = 'person'")
+    peers = lone.groupBy("head", "probe").agg(F.min("short").alias("b"), F.countDistinct(F.when(F.col("initials") != "", F.substring("initials", 1, 1))).alias("letters")).where("letters <= 1")
+    alone = lone.join(peers, ["head", "probe"]).where("short <> b").select(F.col("short").alias("a"), "b")
+    return components(linked.unionByName(joined).unionByName(alone))
 
 
 def name_pairs(entities: DataFrame) -> DataFrame:
