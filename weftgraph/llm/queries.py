@@ -229,6 +229,15 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
 """
 
 
+_SPANS = """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, len(text) - 298)) AS i FROM documents WHERE len(text) >= 300)),
+held AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+marks AS (SELECT w.doc_id, w.i, h FROM w JOIN held USING (h)),
+island AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 300 THEN 0 ELSE 1 END AS new FROM marks)),
+passage AS (SELECT doc_id, (min(i) - 1)::INTEGER AS start, (max(i) - min(i) + 300)::INTEGER AS length FROM island GROUP BY doc_id, k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _TERMS + "SELECT workspace, field_name, term, mark FROM marked WHERE mark IS NOT NULL",
@@ -241,4 +250,9 @@ def oracle_sql() -> dict[str, str]:
         "p7_reasons": _reasons_sql(),
         "p7_found": f"SELECT artifact_id FROM ({_reasons_sql()})",
         "p8_found": _LEAKS,
+        "p10_found": _SPANS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM marks) a JOIN (SELECT DISTINCT doc_id, h FROM marks) b ON a.h = b.h AND a.doc_id < b.doc_id",
+        "p10_passages": _SPANS + "SELECT * FROM passage",
+        "p10_coverage": _SPANS + """, same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE len(text) >= 300)
+            SELECT d.doc_id, coalesce(len(text), 0)::BIGINT AS n_chars, coalesce(p.n, 0) AS passages, coalesce(p.chars, 0)::BIGINT AS shared_chars, CASE WHEN same.n > 1 THEN class_id END AS class_id
+            FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length) AS chars FROM passage GROUP BY 1) p USING (doc_id) LEFT JOIN same USING (doc_id)""",
     }

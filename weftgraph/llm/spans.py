@@ -17,9 +17,17 @@ maximum chunk length breaks the argument.  ``least`` must be at least that lengt
 
 Chunks are compared by digest.  Occurrences of a digest in more than one document then
 meet, with as much text around them as decides whether they belong to a span of
-``least`` characters: chunks of up to ``GROUP`` occurrences pair by pair, more frequent ones by
-the digests of all windows of ``least`` characters around them, so that the work stays
-linear in the occurrences.
+``least`` characters.  Chunks of up to ``GROUP`` occurrences meet pair by pair.  More frequent ones go by classes:
+
+1. A span of ``least`` characters around a chunk reaches at least half of what it has more
+   than the chunk to the left or to the right of it.  So an occurrence whose chunk with that much on the left is
+   in no other document, and with that much on the right neither, is in no shared span: two rows decide that.
+2. Occurrences with the same text as far as any such span reaches form a class; there are
+   as many classes as there are different surroundings, not as many as copies.
+3. One occurrence of each class gives the digests of its windows of ``least`` characters, and classes that
+   have a window in common share it.  What is found for a class holds for all of its occurrences.
+
+The work is linear in the occurrences, and characters are looked at once for each class.
 """
 
 from __future__ import annotations
@@ -264,49 +272,106 @@ def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return work
 
 
-def _windows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Digests of all windows of ``least`` characters that hold one of a document's listed chunks."""
+def _digests(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two prefix sums of a text, from which the digest of any stretch follows, and the powers to divide by."""
+    power, inverse = tables().powers(len(points) + 1)
+    zero = np.zeros(1, np.uint64)
+    return np.concatenate([zero, np.cumsum(tables().digit[points] * power[: len(points)])]), np.concatenate([zero, np.cumsum(tables().gear[points] * power[: len(points)])]), inverse
+
+
+def _stretch(sums: tuple[np.ndarray, np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of digest, as two numbers, of the stretches from lo to hi; stretches of other length differ."""
+    a, b, inverse = sums
+    salt = (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _mix((a[hi] - a[lo]) * inverse[lo] + salt).view(np.int64), _mix((b[hi] - b[lo]) * inverse[lo] - salt).view(np.int64)
+
+
+_SURROUND = "digest long, doc_id long, start int, length int, l1 long, l2 long, r1 long, r2 long, c1 long, c2 long"
+
+
+def _surroundings(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each occurrence the digests of the chunk with half of the missing characters on the left, on the right, and of all that a span can reach."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, occ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 points = code_points(text)
-                last = len(points) - least
-                marks = np.zeros(len(points) + 2, np.int64)
+                sums = _digests(points)
+                at = {k: np.array([o[k] for o in occ], np.int64) for k in ("digest", "start", "length")}
+                lo, hi, size = at["start"], at["start"] + at["length"], len(points)
+                more = np.maximum(0, least - at["length"])
+                half = (more + 1) // 2
+                # a half that the text does not have is in no other text either: the place stands for it
+                left, right = lo - half, hi + half
+                none = np.full(len(occ), doc, np.int64)
+                l1, l2 = _stretch(sums, np.maximum(left, 0), hi)
+                r1, r2 = _stretch(sums, lo, np.minimum(right, size))
+                l1, l2 = np.where(left < 0, none, l1), np.where(left < 0, -1 - lo, l2)
+                r1, r2 = np.where(right > size, none, r1), np.where(right > size, -1 - lo, r2)
+                c1, c2 = _stretch(sums, np.maximum(lo - more, 0), np.minimum(hi + more, size))
+                # the place of the chunk in its surroundings belongs to the class
+                c1 = _mix((c1 + np.minimum(lo, more)).astype(np.uint64)).view(np.int64)
+                columns = [at["digest"], none, lo.astype(np.int32), at["length"].astype(np.int32), l1, l2, r1, r2, c1, c2]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in _SURROUND.split(", ")])
+
+    return work
+
+
+_WINDOW = "digest long, c1 long, c2 long, at int, w1 long, w2 long"
+
+
+def _windows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Digests of the windows of ``least`` characters around the chunks of the classes that a document stands for; ``at`` counts from the chunk."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, occ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                points = code_points(text)
+                sums = _digests(points)
                 for o in occ:
-                    lo, hi = max(0, o["start"] + o["length"] - least), min(o["start"], last)
-                    if lo <= hi:
-                        marks[lo] += 1
-                        marks[hi + 1] -= 1
-                at = np.flatnonzero(np.cumsum(marks)[: max(0, last + 1)] > 0)
-                if not len(at):
-                    continue
-                power, inverse = tables().powers(len(points) + 1)
-                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tables().digit[points] * power[: len(points)])])
-                digest = _mix((prefix[at + least] - prefix[at]) * inverse[at])
-                other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tables().gear[points] * power[: len(points)])])
-                check = _mix((other[at + least] - other[at]) * inverse[at])
-                for k in range(0, len(at), 100_000):
-                    part = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[part].view(np.int64)), pa.array(check[part].view(np.int64)), pa.array(np.full(len(at[part]), doc, np.int64)), pa.array(at[part].astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
+                    lo, hi = max(0, min(o["start"], o["start"] + o["length"] - least)), min(max(o["start"], o["start"] + o["length"] - least), len(points) - least)
+                    at = np.arange(lo, hi + 1)
+                    if len(at):
+                        w1, w2 = _stretch(sums, at, at + least)
+                        same = [np.full(len(at), o[k], np.int64) for k in ("digest", "c1", "c2")]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array((at - o["start"]).astype(np.int32)), pa.array(w1), pa.array(w2)], names=[f.split()[0] for f in _WINDOW.split(", ")])
 
     return work
 
 
-def _with_texts(occurrences: DataFrame, documents: DataFrame) -> DataFrame:
+def _with_texts(occurrences: DataFrame, documents: DataFrame, *more: str) -> DataFrame:
     """``doc_id, text, occ`` of the documents that have occurrences."""
-    listed = occurrences.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "length")).alias("occ"))
+    listed = occurrences.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "length", *more)).alias("occ"))
     return documents.select(F.col("doc_id").cast("long"), "text").join(listed, "doc_id").select("doc_id", "text", "occ")
 
 
-def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """What texts share: spans of document pairs, and windows that many documents hold.
+_CLASS = ["digest", "c1", "c2"]
+
+
+def shared_classes(many: DataFrame, documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members and shared windows of the classes of frequent chunks.
+
+    Members: ``digest, c1, c2, doc_id, start``.  Windows: ``digest, c1, c2, at, w1, w2`` and ``lo, hi``, the
+    smallest and the largest document that has the window; windows of one document only are left out.
+    """
+    around = durable(_with_texts(many, documents).mapInArrow(_surroundings(least), _SURROUND), "surroundings")
+    halves = around.select("digest", "doc_id", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("l1").alias("h1"), F.col("l2").alias("h2")), F.struct(F.lit(1).alias("side"), F.col("r1").alias("h1"), F.col("r2").alias("h2")))))
+    shared = durable(halves.groupBy("digest", "side", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("digest", "side", "h1", "h2"), "halves")
+    side = lambda k, a, b: sized(shared.where(f"side = {k}").select("digest", F.col("h1").alias(a), F.col("h2").alias(b), F.lit(True).alias(f"has{k}")))
+    open_ = around.join(side(0, "l1", "l2"), ["digest", "l1", "l2"], "left").join(side(1, "r1", "r2"), ["digest", "r1", "r2"], "left").where("has0 or has1")
+    members = durable(open_.select(*_CLASS, "doc_id", "start", "length"), "members")
+    classes = durable(members.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "start", "length")).alias("m"), F.max("doc_id").alias("hi")).select(*_CLASS, "m.*", "hi"), "class")
+    made = durable(_with_texts(classes, documents, "c1", "c2").mapInArrow(_windows(least), _WINDOW), "windows").join(classes.select(*_CLASS, F.col("doc_id").alias("lo"), "hi"), _CLASS)
+    held = made.groupBy("digest", "w1", "w2").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last").select("digest", "w1", "w2")
+    return members, durable(made.join(held, ["digest", "w1", "w2"]), "shared")
+
+
+def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """What texts share: spans of document pairs around rarer chunks, and :func:`shared_classes` of the others (None without any).
 
     The first table has ``doc_id_a < doc_id_b, start_a, start_b, length``: shared spans of
     at least ``least`` characters around chunks with up to ``GROUP`` occurrences.  A long
-    shared passage has one row for each of its chunks.  The second has ``class, doc_id,
-    start``: windows of ``least`` characters around more frequent chunks, where rows of one class
-    hold the same text and a class has at least two documents.
+    shared passage has one row for each of its chunks.
 
     Null texts and texts below ``least`` characters share nothing.  Ids are taken to be
     unique; a document never pairs with itself.
@@ -315,14 +380,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     few, many = found.where(F.col("n") <= GROUP), found.where(F.col("n") > GROUP)
     around = _with_texts(few, documents).mapInArrow(_contexts(least), "digest long, doc_id long, start int, length int, before int, around string")
     spans = around.repartition("digest").sortWithinPartitions("digest").mapInArrow(_compare(least), "doc_id_a long, doc_id_b long, start_a int, start_b int, length int")
-    if many.isEmpty():
-        windows = documents.sparkSession.createDataFrame([], "class long, doc_id long, start int, docs long")
-    else:
-        every = durable(_with_texts(many, documents).mapInArrow(_windows(least), "w1 long, w2 long, doc_id long, start int"), "windows")
-        once = every.groupBy("w1", "w2", "doc_id").agg(F.min("start").alias("start"))
-        shared = once.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "doc_id").cast("decimal(20,0)")).alias("s2")).where("docs > 1")
-        windows = durable(every.join(shared.withColumn("class", F.struct("docs", "s1", "s2")), ["w1", "w2"]).select("w1", "w2", "class", "docs", "doc_id", "start"), "classes")
-    return spans, windows
+    return spans, None if many.isEmpty() else shared_classes(many, documents, least)
 
 
 def copies(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -344,12 +402,17 @@ def distinct_texts(documents: DataFrame, same: DataFrame) -> DataFrame:
     return documents.join(sized(extra), "doc_id", "left_anti")
 
 
-def _class_pairs(windows: DataFrame) -> DataFrame:
-    """Pairs of the documents of each class of windows; of windows with the same documents one is used."""
-    one = windows.groupBy("class").agg(F.min(F.struct("w1", "w2")).alias("w"))
-    members = durable(windows.join(one, "class").where("w1 = w.w1 and w2 = w.w2").select("class", "doc_id").distinct(), "members")
-    a, b = members.select("class", F.col("doc_id").alias("doc_id_a")), members.select("class", F.col("doc_id").alias("doc_id_b"))
-    return a.join(b, "class").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+def _class_pairs(members: DataFrame, windows: DataFrame) -> DataFrame:
+    """Pairs of the documents that have a window in common; of windows that the same classes have, and of classes with the same documents, one is used."""
+    who = members.select(*_CLASS, "doc_id").distinct()
+    sets = durable(who.groupBy(*_CLASS).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "doc_id").cast("decimal(20,0)")).alias("s2")), "sets")
+    # windows by the sets of documents that have them
+    held = windows.select(*_CLASS, "w1", "w2").distinct().join(sets, _CLASS)
+    group = held.groupBy("digest", "w1", "w2").agg(F.sum("docs").alias("docs"), F.sum("s1").alias("t1"), F.sum("s2").alias("t2"))
+    one = group.groupBy("docs", "t1", "t2").agg(F.min(F.struct("digest", "w1", "w2")).alias("w")).select("w.*")
+    chosen = durable(windows.join(sized(durable(one, "chosen")), ["digest", "w1", "w2"]).select("w1", "w2", *_CLASS).distinct().join(who, _CLASS).select("digest", "w1", "w2", "doc_id").distinct(), "holders")
+    a, b = (chosen.select("digest", "w1", "w2", F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
+    return a.join(b, ["digest", "w1", "w2"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
 def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -359,10 +422,10 @@ def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     found are then given to the copies too, as each pair of documents is a row of the result.
     """
     same = copies(documents, least)
-    spans, windows = shared_spans(distinct_texts(documents, same), least)
+    spans, classes = shared_spans(distinct_texts(documents, same), least)
     pairs = spans.select("doc_id_a", "doc_id_b")
-    if "w1" in windows.columns:
-        pairs = pairs.unionByName(_class_pairs(windows))
+    if classes is not None:
+        pairs = pairs.unionByName(_class_pairs(*classes))
     pairs = pairs.distinct()
     if same.isEmpty():
         return pairs
@@ -373,23 +436,32 @@ def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return wide.unionByName(own).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
 
 
+def _islands(rows: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """Stretches ``start, length`` of each key that overlap or touch, united."""
+    order = Window.partitionBy(*keys).orderBy(start, "length")
+    reach = F.max(F.col(start) + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", (reach.isNull() | (F.col(start) > reach)).cast("int")).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_k").agg(F.min(start).alias(start), F.max(F.col(start) + F.col("length")).alias("_end")).select(*keys, start, (F.col("_end") - F.col(start)).alias("length"))
+
+
+def _passages(documents: DataFrame, same: DataFrame, least: int) -> DataFrame:
+    spans, classes = shared_spans(distinct_texts(documents, same), least)
+    rows = spans.select(F.inline(F.array(F.struct(F.col("doc_id_a").alias("doc_id"), F.col("start_a").alias("start"), "length"), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("start_b").alias("start"), "length"))))
+    if classes is not None:
+        members, windows = classes
+        found = _islands(windows.select(*_CLASS, "at", F.lit(least).alias("length")).distinct(), _CLASS, "at")
+        rows = rows.unionByName(members.drop("length").join(found, _CLASS).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "length"))
+    whole = same.select("doc_id", F.lit(0).alias("start"), F.col("n_chars").alias("length"))
+    return _islands(rows.unionByName(whole).distinct(), ["doc_id"], "start")
+
+
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, start, length``: the maximal stretches of each document that lie in spans it shares with another.
 
     Positions count code points from 0.  The work is linear in the texts however large a
     group of copies is: no pairs of a group are formed beyond ``GROUP`` occurrences.
     """
-    same = copies(documents, least)
-    spans, windows = shared_spans(distinct_texts(documents, same), least)
-    rows = spans.select(F.inline(F.array(F.struct(F.col("doc_id_a").alias("doc_id"), F.col("start_a").alias("start"), "length"), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("start_b").alias("start"), "length"))))
-    if "w1" in windows.columns:
-        rows = rows.unionByName(windows.select("doc_id", "start", F.lit(least).alias("length")))
-    whole = same.select("doc_id", F.lit(0).alias("start"), F.col("n_chars").alias("length"))
-    rows = rows.unionByName(whole).distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "length")
-    reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = rows.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc_id", "_k").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("_end")).select("doc_id", "start", (F.col("_end") - F.col("start")).alias("length"))
+    return _passages(documents, copies(documents, least), least)
 
 
 def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -398,7 +470,8 @@ def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
     class_id is the smallest id among the documents with the very same text, where there are several.
     Null texts count as empty.
     """
-    same = copies(documents, least).select("doc_id", F.col("rep").alias("class_id"))
-    found = passages(documents, least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("length").cast("long").alias("shared_chars"))
+    same = copies(documents, least)
+    found = _passages(documents, same, least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("length").cast("long").alias("shared_chars"))
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    return rows.join(found, "doc_id", "left").join(same, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), "class_id")
+    both = rows.join(found, "doc_id", "left").join(same.select("doc_id", F.col("rep").alias("class_id")), "doc_id", "left")
+    return both.select("doc_id", "n_chars", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), "class_id")
