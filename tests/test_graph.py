@@ -247,3 +247,18 @@ def test_hybrid_search_cites_pages(spark):
     for query in ("hay", "ha"):  # by rank, and by keyword
         got = search.hybrid_search(g["chunks"], g["artifacts"], g["derived"], query, 5, "w").collect()
         assert {(r.path, r.page) for r in got} == {("/a.pdf", 3), ("/b.md", None)}
+
+
+@pytest.mark.parametrize("block", [512, 6, 2])
+def test_cooccurrence_with_a_third_of_all_rows_in_one_chunk(spark, block):
+    rng = random.Random(4)
+    rows = [("w", 1, e) for e in range(60)] + [("w", rng.randrange(2, 40), rng.randrange(60)) for _ in range(120)] + [("v", 1, 1), ("v", 1, 2), ("w", 99, 1), ("w", 99, 2), ("w", 1, None), (None, 1, 5)]
+    ch = spark.createDataFrame([(c, f"p{c}") for c in range(1, 40)] + [(1, None), (5, "p4")], "id long, name string")
+    got = {(r.workspace, r.src_id, r.dst_id): (r.shared, r.first_page) for r in link.cooccurrence(spark.createDataFrame(rows, "workspace string, chunk_id long, entity_id long").withColumn("page", F.lit(1)), ch, block=block).collect()}
+    want: dict = {}
+    for w, c in {(w, c) for w, c, e in rows if w and c < 40}:
+        items = sorted({e for x, y, e in rows if (x, y) == (w, c) and e is not None})
+        for i, a in enumerate(items):
+            for b in items[i + 1 :]:
+                want.setdefault((w, a, b), []).append(c)
+    assert got == {k: (len(v), 4 if min(v) == 5 else min(v)) for k, v in want.items() if len(v) > 1}

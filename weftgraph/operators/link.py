@@ -6,32 +6,32 @@ with the operator's result, so repeats of the input change nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import patterns as P
 from weftgraph.functions import text as T
 from weftgraph.operators.extract import current_artifacts, kind_of
+from weftgraph.operators.pairs import BLOCK, group_pairs
+from weftgraph.plans.durable import durable
 
 
-def cooccurrence(mentions: DataFrame, chunks: DataFrame, min_shared: int = 2) -> DataFrame:
+def cooccurrence(mentions: DataFrame, chunks: DataFrame, min_shared: int = 2, block: int = BLOCK) -> DataFrame:
     """``workspace, src_id, dst_id, shared, first_page, confidence`` of entities that share chunks; src < dst.
 
     Mentions of chunks that do not exist and null ids count for nothing, an entity counts
     once per chunk.  first_page is the page of the first shared chunk (by id), which may
     have none; confidence is ``min(1, 0.4 + 0.1 * shared)``.
 
-    Pairs come from a self join on the chunk, which streams through a chunk however many
-    entities it has, keeps the partitioning of the join with the chunks, and is counted
-    partly before the shuffle.
+    The distinct mentions are written once; each chunk's pairs are made in its own row, or in
+    blocks where it has many entities, and are counted partly before the shuffle.
     """
-    pages = chunks.select(F.col("id").alias("chunk_id"), T.page_of(F.col("name")).alias("page")).where("chunk_id is not null").dropDuplicates(["chunk_id"])
-    base = mentions.select("workspace", "chunk_id", F.col("entity_id").alias("src_id")).dropna().distinct()
-    rows = base.join(pages, "chunk_id")
-    other = rows.select("chunk_id", F.col("workspace").alias("_w"), F.col("src_id").alias("dst_id"))
-    pairs = rows.join(other, "chunk_id").where((F.col("workspace") == F.col("_w")) & (F.col("src_id") < F.col("dst_id")))
-    counted = pairs.groupBy("workspace", "src_id", "dst_id").agg(F.count(F.lit(1)).alias("shared"), F.min_by("page", "chunk_id").alias("first_page")).where(F.col("shared") >= min_shared)
-    return counted.withColumn("confidence", F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.1) * F.col("shared")))
+    pages = chunks.where("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(T.page_of(F.col("name"))).alias("page"))
+    base = durable(mentions.select("workspace", "chunk_id", "entity_id").dropna().distinct(), "said")
+    pairs = group_pairs(base, ["workspace", "chunk_id"], "entity_id", block, pages.select("chunk_id"))
+    counted = pairs.groupBy("workspace", F.col("a").alias("src_id"), F.col("b").alias("dst_id")).agg(F.count(F.lit(1)).alias("shared"), F.min("chunk_id").alias("chunk_id")).where(F.col("shared") >= min_shared)
+    placed = counted.join(pages.where("page is not null"), "chunk_id", "left")
+    return placed.select("workspace", "src_id", "dst_id", "shared", F.col("page").alias("first_page"), F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.1) * F.col("shared")).alias("confidence"))
 
 
 def grounded(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -167,7 +167,3 @@ def narrowest(points: DataFrame, spans: DataFrame, bucket: int = 1024) -> DataFr
     best = places.join(entered, ["owner", "b"]).where("lo <= at and at <= hi").groupBy("owner", "at").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo", "name")).alias("m"))
     return points.join(best.select("owner", "at", F.col("m.name").alias("name")), ["owner", "at"], "left")
 
-
-def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
