@@ -70,7 +70,7 @@ def test_sink_survives_a_crash(spark, tmp_path):
     assert (first.low, first.high) == (None, 39)
 
     def crash(df):
-        df.write.parquet(str(tmp_path / "out/data/half-done"))
+        df.write.parquet(str(tmp_path / "out/data/half-done/rows"))
         raise RuntimeError("executor lost")
 
     with pytest.raises(RuntimeError):
@@ -101,3 +101,34 @@ def test_nothing_to_do(spark, tmp_path):
     sink = inc.IncrementalSink(spark, str(tmp_path / "out"))
     assert sink.read() is None and sink.watermark() is None
     assert sink.run(spark.createDataFrame([], "seq long"), "seq", lambda df: df) is None
+
+
+def test_steps_read_only_what_is_new_and_agree_with_all_at_once(spark, tmp_path):
+    a = spark.createDataFrame([(k, "w", f"/f{k}", "code", f"s{k}", at(1), None) for k in range(6)], ART)
+    items = [(1, "w", "/f0", "s0", at(3)), (1, "w", "/f1", "old", at(3)), (2, "w", "/f1", "s1", at(4)), (3, "w", "/f2", "s2", at(5)), (4, "w", "/f0", "other", at(6)), (9, "w", "/f3", "s3", at(6))]
+    runs = [(1, at(3), at(3), "ok"), (2, at(4), at(4), "ok"), (3, at(5), at(5), "failed"), (4, at(6), at(6), "ok"), (9, at(6), None, "running")]
+    sink = inc.IncrementalSink(spark, str(tmp_path / "out"))
+    step = lambda i, r, upper=None: {(x.artifact_id, x.reason) for x in inc.step(sink, a, spark.createDataFrame(i, ITEM), spark.createDataFrame(r, RUN), upper).collect()}
+    # bound fixed at day 4: the run that lands later is not seen
+    assert step(items, runs, at(4)) == found(spark, [tuple(r) for r in a.collect()], items, runs, at(4)) == {(k, "new") for k in (2, 3, 4, 5)}
+    assert sink.watermark() == 2
+    # items of runs below the watermark are not read again: the state has them
+    assert step(items[4:], runs) == found(spark, [tuple(r) for r in a.collect()], items, runs) == {(0, "changed"), (2, "new"), (3, "new"), (4, "new"), (5, "new")}
+    assert sink.watermark() == 3 and sink.last().low == 2
+    # nothing new, the same answer
+    assert step([], runs) == {(0, "changed"), (2, "new"), (3, "new"), (4, "new"), (5, "new")}
+    # a run that turns up below the watermark shifts the numbers: everything is folded again
+    late = [*runs, (7, at(2), at(2), "ok")]
+    assert step([*items, (7, "w", "/f4", "s4", at(2))], late) == {(0, "changed"), (2, "new"), (3, "new"), (5, "new")}
+    assert sink.last().low == 0 and sink.watermark() == 4
+
+
+def test_compaction(spark, tmp_path):
+    sink = inc.IncrementalSink(spark, str(tmp_path / "out"))
+    source = spark.range(30).select(F.col("id").alias("seq"))
+    for upper in (9, 19):
+        sink.run(source, "seq", lambda df: df, upper)
+    sink.compact()
+    assert len(sink.commits()) == 1 and sink.watermark() == 19
+    sink.run(source, "seq", lambda df: df)
+    assert len(sink.commits()) == 2 and sorted(r.seq for r in sink.read().collect()) == list(range(30))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import graph_queries
 from weftgraph.operators import incremental, orphans
+from weftgraph.plans.durable import new_path
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,7 +17,9 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _pending(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.pending(_table(spark, sf, "artifacts"), _table(spark, sf, "run_items"), _table(spark, sf, "ingest_runs"))
+    """The first step of a new sink: up to the last run there is now, published with its watermark and read back."""
+    sink = incremental.IncrementalSink(spark, new_path(spark, "sink"))
+    return incremental.step(sink, _table(spark, sf, "artifacts"), _table(spark, sf, "run_items"), _table(spark, sf, "ingest_runs"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +49,7 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Broken references per table, field and month; a mention's month is that of its chunk's artifact."""
     month = lambda c: F.date_format(c, "yyyy-MM")
     artifacts = incremental.current_versions(_table(spark, sf, "artifacts")).select("artifact_id", month("ingested_at").alias("month"))
-    chunks = _table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "artifact_id").dropDuplicates(["chunk_id"]).join(artifacts, "artifact_id").select("chunk_id", "month")
+    chunks = _table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "artifact_id").groupBy("chunk_id").agg(F.min("artifact_id").alias("artifact_id")).join(artifacts, "artifact_id").select("chunk_id", "month")
     mentions = _table(spark, sf, "mentions").select("id", "entity_id", "chunk_id").distinct().join(chunks, "chunk_id", "left")
     edges = _table(spark, sf, "edges").select("id", "src_id", "dst_id", "created_at").distinct()
     refs = orphans.references(mentions, "mentions", {"entity_id": "entities", "chunk_id": "chunks"}, period=F.col("month")).unionByName(
@@ -91,7 +94,7 @@ _MONTHS = """, cur AS (
   SELECT id, strftime(ingested_at, '%Y-%m') AS month FROM artifacts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, sha DESC NULLS LAST) = 1
 ), m AS (
   SELECT DISTINCT mentions.id, entity_id, chunk_id, month FROM mentions
-  LEFT JOIN (SELECT DISTINCT chunks.id, cur.month FROM chunks JOIN cur ON cur.id = artifact_id) c ON c.id = chunk_id
+  LEFT JOIN (SELECT c.id, cur.month FROM (SELECT id, min(artifact_id) AS artifact_id FROM chunks GROUP BY id) c JOIN cur ON cur.id = artifact_id) c ON c.id = chunk_id
 ), e AS (SELECT DISTINCT id, src_id, dst_id, strftime(created_at, '%Y-%m') AS month FROM edges),
 refs AS (
   SELECT 'mentions' AS table_name, 'entity_id' AS field_name, month AS period, entity_id IN (SELECT id FROM ent) AS there FROM m WHERE entity_id IS NOT NULL
