@@ -38,8 +38,7 @@ def test_hot_key_missing_and_present(spark):
         assert rows_of(o.orphan_rows(r, valid(spark, [2], range(100, 400)), parts)) == want
 
 
-def test_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(o, "BROADCAST_ROWS", 3)
+def test_many_missing_keys(spark):
     r = refs(spark, [(i, i % 7, i, "c", 0) for i in range(70)])
     got = rows_of(o.orphan_rows(r, valid(spark, [0, 1], range(10)), 10))
     assert got == {("a", i) for i in range(70) if i % 7 > 1} | {("b", i) for i in range(10, 70)}

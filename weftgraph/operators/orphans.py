@@ -9,6 +9,8 @@ however often a key is used:
 2. the few heavy keys are broadcast and looked up among the targets where those lie;
 3. the remaining keys go through a shuffled anti join, one row per key;
 4. both sets of missing keys lead back to the rows, or to counts per field and period.
+
+Nothing but the heavy keys, fewer than ``HEAVY_PARTS`` rows, is broadcast by this module.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import BROADCAST_ROWS, durable, sized
+from weftgraph.plans.durable import durable
 from weftgraph.plans.skew import HEAVY_PARTS
 
 KEY = ["target", "key"]
@@ -44,30 +46,33 @@ def targets(existing: dict[str, list[DataFrame]], tombstones: DataFrame | None =
     return ids.join(dead, KEY, "left_anti")
 
 
-def missing_keys(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) -> DataFrame:
-    """Keys that references use and no target has: ``target, key, n_refs, heavy``, one row each, durable."""
+def missing_keys(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) -> tuple[DataFrame, DataFrame]:
+    """Keys that references use and no target has, ``target, key``, and the heavy keys, ``target, key, gone``; durable.
+
+    A key is heavy if it holds more than ``1/parts`` of all references, so there are fewer than
+    ``parts`` heavy ones; ``gone`` tells whether they are missing.
+    """
     keys = durable(refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_refs")), "keys")
     total = keys.agg(F.sum("n_refs")).first()[0] or 0
-    keys = keys.withColumn("heavy", F.col("n_refs") * parts > F.lit(total))
-    heavy, light = keys.where("heavy"), keys.where("not heavy")
-    present = valid.join(F.broadcast(heavy.select(*KEY)), KEY, "left_semi").distinct()
-    orphans = heavy.join(F.broadcast(present), KEY, "left_anti").unionByName(light.join(valid, KEY, "left_anti"))
-    return durable(orphans, "missing")
+    is_heavy = F.col("n_refs") * parts > F.lit(total)
+    hot = keys.where(is_heavy).select(*KEY)
+    present = valid.join(F.broadcast(hot), KEY, "left_semi").distinct().withColumn("there", F.lit(True))
+    heavy = durable(hot.join(F.broadcast(present), KEY, "left").select(*KEY, F.col("there").isNull().alias("gone")), "heavy")
+    light = keys.where(~is_heavy).select(*KEY).join(valid, KEY, "left_anti")
+    return durable(heavy.where("gone").select(*KEY).unionByName(light), "missing"), heavy
 
 
 def orphan_rows(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) -> DataFrame:
     """``table_name, field_name, row_id``, distinct: every reference that leads nowhere.
 
+    References with a heavy key are judged by broadcast, whether it is missing or there; only
+    the others are shuffled to meet the missing keys.
     Null keys are no references; a row delivered twice counts once; an empty target
     table makes every reference an orphan; without references the result is empty.
     """
-    missing = missing_keys(refs, valid, parts)
-    rows = missing.count()
-    if rows <= BROADCAST_ROWS:
-        hit = refs.join(F.broadcast(missing.select(*KEY)), KEY, "left_semi")
-    else:
-        heavy, light = missing.where("heavy").select(*KEY), missing.where("not heavy").select(*KEY)
-        hit = refs.join(F.broadcast(heavy), KEY, "left_semi").unionByName(refs.join(F.broadcast(heavy), KEY, "left_anti").join(light, KEY, "left_semi"))
+    missing, heavy = missing_keys(refs, valid, parts)
+    marked = refs.join(F.broadcast(heavy), KEY, "left")
+    hit = marked.where("gone").drop("gone").unionByName(marked.where("gone is null").drop("gone").join(missing, KEY, "left_semi"))
     return hit.select("table_name", "field_name", "row_id").distinct()
 
 
@@ -78,10 +83,9 @@ def orphan_counts(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) -
     keys has one row for each such group.  A null period stands for "unknown".
     """
     per_key = durable(refs.groupBy("table_name", "field_name", "period", *KEY).agg(F.count(F.lit(1)).alias("n")), "per_key")
-    missing = missing_keys(refs, valid, parts)
-    gone = sized(missing.select(*KEY).withColumn("gone", F.lit(1)))
+    missing, _ = missing_keys(refs, valid, parts)
     return (
-        per_key.join(gone, KEY, "left")
+        per_key.join(missing.withColumn("gone", F.lit(1)), KEY, "left")
         .groupBy("table_name", "field_name", "period")
         .agg(F.sum("n").alias("n_refs"), F.sum(F.when(F.col("gone") == 1, F.col("n")).otherwise(0)).alias("n_orphans"))
     )
