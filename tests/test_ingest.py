@@ -239,3 +239,53 @@ def test_registered_source(spark, tmp_path):
         assert counts["table"] == 1 and rows(graph["chunks"], "name") == {("rows",)}
     finally:
         files._REGISTRY.clear()
+
+
+def test_pages_are_derived_and_cited(spark, tmp_path):
+    corpus = tmp_path / "c"
+    corpus.mkdir()
+    (corpus / "Deed of 1.pdf").write_bytes(b"The `verify_gate` deed.\fSecond page\xff\f")
+    (corpus / "note.md").write_text("# n\n")
+    pages = lambda content: content.decode("utf-8", "ignore").split("\f")
+    graph, counts = compose.ingest(Graph(spark), str(corpus), "w", pages_of=pages, derived=str(tmp_path / "derived"))
+    assert counts["pdf"] == 1 and rows(graph["chunks"].where("kind = 'page'"), "name", "text") == {("p1", "The `verify_gate` deed."), ("p2", "Second page"), ("p3", "")}
+    made = graph["derived"].collect()
+    assert {(r.orig_path, r.page) for r in made} == {(str(corpus / "Deed of 1.pdf"), n) for n in (1, 2, 3)}
+    assert {open(r.derived_path).read() for r in made} == {"The `verify_gate` deed.", "Second page", ""}
+    assert str(tmp_path / "derived/w") in {r.root_path for r in graph["sources"].collect()}
+    hits = spark.createDataFrame([(1, made[0].derived_path)], "id long, path string")
+    assert rows(read.original_place(hits, graph["derived"]), "path", "page") == {(made[0].orig_path, made[0].page)}
+    again, more = compose.ingest(graph, str(corpus), "w", pages_of=pages, derived=str(tmp_path / "derived"))
+    assert more == counts and again["derived"].count() == 3 and again["chunks"].count() == graph["chunks"].count()
+    none, counts = compose.ingest(Graph(spark), str(corpus), "v", pages_of=lambda content: None)
+    assert counts["pdf"] == 1 and rows(none["artifacts"], "kind") == {("docs",)} and none["derived"].count() == 0
+
+
+def test_store_writes_only_what_changed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    graph = write.add_source(write.create_workspace(Graph(spark), "w"), "w", "/a").append("entities", spark.createDataFrame([(1, "w", "a", "t", None)], "id long, workspace string, name string, etype string, props string"))
+    store.write(graph)
+    first = store.manifest(1)
+    row = spark.createDataFrame([("w", "b", "t", "{}", [5])], "workspace string, name string, etype string, props string, chunk_ids array<long>")
+    store.write(write.add_entities(store.read(), row))
+    second = store.manifest(2)
+    assert second["workspaces"] == first["workspaces"] and second["sources"] == first["sources"]
+    assert second["entities"][:1] == first["entities"] and len(second["entities"]) == 2 and len(second["mentions"]) == 1
+    store.write(write.add_entities(store.read(), row))  # known: the table is written anew, once
+    third = store.manifest(3)
+    assert len(third["entities"]) == 1 and third["entities"] != first["entities"] and len(third["mentions"]) == 2
+    assert rows(store.read()["entities"], "name") == {("a",), ("b",)} and store.read(1)["entities"].count() == 1
+    assert store.vacuum(1) > 0 and store.versions() == [3] and store.read()["entities"].count() == 2
+    store.write(graph)  # written elsewhere
+    assert store.read()["entities"].count() == 1
+
+
+def test_walk_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FOLDERS", 2)
+    for name in ("a/_x/__init__.py", "a/b/c/d.py", "e/.hidden", "e/node_modules/no.js", "top.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    want = {str(tmp_path / n) for n in ("a/_x/__init__.py", "a/b/c/d.py", "e/.hidden", "top.md")}
+    assert set(files.walk(tmp_path)) == want == {r.path for r in files.find(spark, tmp_path).collect()}
+    assert {r.path for r in files.find(spark, f"file://{tmp_path}").collect()} == {f"file://{w}" for w in want}
+    assert files.find(spark, tmp_path / "nothing").count() == 0 and [r.path for r in files.find(spark, tmp_path / "top.md").collect()] == [str(tmp_path / "top.md")]

@@ -13,6 +13,11 @@ def sha16(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
+def stable_id(*parts: Column | str) -> Column:
+    """64-bit id of what makes something unique.  A null part is a part of its own, where the plain hash would pass it over."""
+    return F.xxhash64(*[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\0")) for p in parts])
+
+
 def position(text: Column, found: Column) -> Column:
     """1-based position of ``found`` in ``text``, 0 if absent."""
     return F.position(found, text)

@@ -116,14 +116,15 @@ def call_edges(calls: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFra
     ``calls`` has ``workspace, artifact_id, enclosing, callee``; ``symbols`` has
     ``workspace, id, name``.  Names are resolved in the whole workspace; calls from an
     unknown enclosing definition or to itself are left out; an unknown callee becomes a
-    symbol.  Edges: ``workspace, src_id, dst_id, confidence, method``.
+    symbol.  Edges: ``id, workspace, src_id, dst_id, confidence, method``; ids follow from the ends and a count of the sites.
     """
     known = symbols.where("name is not null").groupBy("workspace", "name").agg(F.min("id").alias("id"))
     inside = calls.where("enclosing is not null and callee is not null and enclosing <> callee").join(known.select("workspace", F.col("name").alias("enclosing"), F.col("id").alias("src_id")), ["workspace", "enclosing"])
     new = inside.select("workspace", F.col("callee").alias("name")).distinct().join(known, ["workspace", "name"], "left_anti").withColumn("id", entity_id(F.col("workspace"), F.col("name"), F.lit("symbol"))).select("workspace", "id", "name")
     every = known.unionByName(new.select("workspace", "name", "id"))
-    edges = inside.join(every.select("workspace", F.col("name").alias("callee"), F.col("id").alias("dst_id")), ["workspace", "callee"])
-    return edges.select("workspace", "src_id", "dst_id", F.lit(1.0).alias("confidence"), F.lit("structural").alias("method")), new
+    sites = inside.groupBy("workspace", "src_id", "callee").agg(F.count(F.lit(1)).alias("n"))
+    edges = sites.join(every.select("workspace", F.col("name").alias("callee"), F.col("id").alias("dst_id")), ["workspace", "callee"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    return edges.select(T.stable_id("workspace", "src_id", "dst_id", F.lit("calls"), "k").alias("id"), "workspace", "src_id", "dst_id", F.lit(1.0).alias("confidence"), F.lit("structural").alias("method")), new
 
 
 def _call_mark(chunk_id: Column, surface: Column) -> Column:
@@ -153,7 +154,7 @@ def call_mentions(calls: DataFrame, symbols: DataFrame, chunks: DataFrame) -> Da
 
 def entity_id(workspace: Column, name: Column, etype: Column) -> Column:
     """Stable id of an entity from what makes it unique."""
-    return F.xxhash64(workspace, name, etype)
+    return T.stable_id(workspace, name, etype)
 
 
 def narrowest(points: DataFrame, spans: DataFrame, bucket: int = 1024) -> DataFrame:

@@ -13,19 +13,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
+from weftgraph.functions.text import stable_id
 from weftgraph.operators.link import entity_id, root_of
 from weftgraph.operators.read import count_of, is_provisional, resolve_path, typed_bindings
 from weftgraph.operators.resolve import canonical_map, repoint
+from weftgraph.plans.durable import durable
 from weftgraph.schema import KEYS
 from weftgraph.sources.store import Graph, conform
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``existing`` and those rows of ``incoming`` whose key it lacks, one for each key (nulls are equal)."""
+    return existing.unionByName(missing_rows(existing, incoming, keys))
+
+
+def missing_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Those rows of ``incoming`` whose key ``existing`` lacks, one for each key (nulls are equal)."""
     fresh = incoming.dropDuplicates(list(keys)).alias("n")
     old = existing.select(*keys).distinct().alias("o")
-    same = _all_equal(keys)
-    return existing.unionByName(fresh.join(old, same, "left_anti"))
+    return fresh.join(old, _all_equal(keys), "left_anti")
+
+
+def upsert_into(graph: Graph, table: str, incoming: DataFrame, keep: Sequence[str] = ("id",)) -> Graph:
+    """The graph with rows upserted by the table's key; where no key is there yet they are only appended."""
+    keys = KEYS[table]
+    rows = conform(incoming, table)
+    known = graph[table].alias("n").join(rows.select(*keys).distinct().alias("o"), _all_equal(keys), "left_semi")
+    if known.isEmpty():
+        return graph.append(table, rows.dropDuplicates(list(keys)))
+    return graph.with_tables(**{table: upsert(graph[table], rows, keys, keep=keep)})
+
+
+def without_rows(graph: Graph, table: str, ids: DataFrame, column: str = "id") -> Graph:
+    """The graph without rows whose ``column`` is among ``ids.id``; a table that has none stays as it is written."""
+    hit = graph[table].join(ids.select(F.col("id").alias("_gone")).distinct(), F.col(column) == F.col("_gone"), "left_semi")
+    return graph if hit.isEmpty() else graph.with_tables(**{table: without_ids(graph[table], ids, column)})
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Sequence[Column] = ()) -> DataFrame:
@@ -61,20 +83,23 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
 
 def remove_entities(graph: Graph, ids: DataFrame) -> Graph:
     """The graph without some entities, their mentions and the edges at them."""
-    edges = without_ids(without_ids(graph["edges"], ids, "src_id"), ids, "dst_id")
-    return graph.with_tables(entities=without_ids(graph["entities"], ids), mentions=without_ids(graph["mentions"], ids, "entity_id"), edges=edges)
+    if ids.isEmpty():
+        return graph
+    for table, column in (("edges", "src_id"), ("edges", "dst_id"), ("mentions", "entity_id"), ("entities", "id")):
+        graph = without_rows(graph, table, ids, column)
+    return graph
 
 
 def clear_origin(graph: Graph, workspace: str, origin: str) -> Graph:
     """Drop what an extractor produced: entities of that origin with mentions and edges."""
     ids = graph["entities"].where((F.col("workspace") == workspace) & (T.json_text(F.col("props"), "$.origin") == origin)).select("id")
-    return remove_entities(graph, ids)
+    return remove_entities(graph, durable(ids, "cleared"))
 
 
 def create_workspace(graph: Graph, name: str, intent: str | None = None) -> Graph:
     """Add a workspace unless it exists."""
     row = graph.spark.createDataFrame([(name, intent)], "name string, intent string").withColumn("created_at", F.current_timestamp())
-    return graph.with_tables(workspaces=insert_new(graph["workspaces"], conform(row, "workspaces"), KEYS["workspaces"]))
+    return graph if not graph["workspaces"].where(F.col("name") == name).isEmpty() else graph.append("workspaces", row)
 
 
 def set_intent(graph: Graph, name: str, intent: str) -> Graph:
@@ -85,27 +110,26 @@ def set_intent(graph: Graph, name: str, intent: str) -> Graph:
 
 def add_source(graph: Graph, workspace: str, root: str) -> Graph:
     row = graph.spark.createDataFrame([(workspace, root.rstrip("/") or "/")], "workspace string, root_path string").withColumn("added_at", F.current_timestamp())
-    return graph.with_tables(sources=insert_new(graph["sources"], conform(row, "sources"), KEYS["sources"]))
+    return graph if not graph["sources"].join(row.select("workspace", "root_path"), ["workspace", "root_path"], "left_semi").isEmpty() else graph.append("sources", row)
 
 
 def upsert_artifacts(graph: Graph, incoming: DataFrame) -> Graph:
     """Add or replace artifacts by workspace and path.
 
     The id stays; old chunks of replaced artifacts go, with their mentions and the
-    artifacts' connector edges.  New artifacts get an id from workspace and path.
+    artifacts' connector edges.  New artifacts get an id from workspace and path.  Where
+    nothing is replaced, rows are only appended.
     """
-    rows = incoming.withColumn("id", F.xxhash64("workspace", "path"))
+    rows = incoming.withColumn("id", stable_id("workspace", "path"))
     keys = KEYS["artifacts"]
-    hit = graph["artifacts"].alias("n").join(rows.select(*keys).distinct().alias("o"), _all_equal(keys), "left_semi").select("id")
-    gone = graph["chunks"].join(hit.select(F.col("id").alias("artifact_id")).distinct(), "artifact_id", "left_semi").select("id")
+    hit = durable(graph["artifacts"].alias("n").join(rows.select(*keys).distinct().alias("o"), _all_equal(keys), "left_semi").select("id").distinct(), "replaced")
+    if hit.isEmpty():
+        return graph.append("artifacts", rows.dropDuplicates(list(keys)))
+    gone = durable(graph["chunks"].join(hit.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi").select("id").distinct(), "gone")
     at = T.json_int(F.col("props"), "$.artifact_id")
-    connectors = graph["edges"].where("edge_type = 'connector'").select("id", at.alias("_a")).join(hit.select(F.col("id").alias("_a")).distinct(), "_a", "left_semi").select("id")
-    return graph.with_tables(
-        artifacts=upsert(graph["artifacts"], conform(rows, "artifacts"), keys, keep=["id"]),
-        chunks=without_ids(graph["chunks"], gone),
-        mentions=without_ids(graph["mentions"], gone, "chunk_id"),
-        edges=without_ids(graph["edges"], connectors),
-    )
+    connectors = durable(graph["edges"].where("edge_type = 'connector'").select("id", at.alias("_a")).join(hit.select(F.col("id").alias("_a")), "_a", "left_semi").select("id"), "connectors")
+    graph = graph.with_tables(artifacts=upsert(graph["artifacts"], conform(rows, "artifacts"), keys, keep=["id", "lens", "props"]))
+    return without_rows(without_rows(without_rows(graph, "chunks", gone), "mentions", gone, "chunk_id"), "edges", connectors)
 
 
 def stamp(artifacts: DataFrame, workspace: str, root: str, lens: str | None, provenance: str) -> DataFrame:
@@ -117,14 +141,25 @@ def stamp(artifacts: DataFrame, workspace: str, root: str, lens: str | None, pro
     return out if lens is None else out.withColumn("lens", F.when(below, F.lit(lens)).otherwise(F.col("lens")))
 
 
+def stamp_below(graph: Graph, workspace: str, root: str, lens: str | None, provenance: str) -> Graph:
+    """The graph with :func:`stamp` applied, if any artifact below the root says otherwise."""
+    rows = graph["artifacts"]
+    marked = stamp(rows, workspace, root, lens, provenance)
+    base = root.rstrip("/")
+    below = (F.col("workspace") == workspace) & ((F.col("path") == base) | F.startswith("path", F.lit(base + "/")))
+    differs = ~T.json_text(F.col("props"), "$.provenance").eqNullSafe(F.lit(provenance))
+    differs = differs if lens is None else differs | ~F.col("lens").eqNullSafe(F.lit(lens))
+    return graph if rows.where(below & differs).isEmpty() else graph.with_tables(artifacts=marked)
+
+
 def clear_synthesized(graph: Graph, workspace: str | None = None) -> Graph:
     """Drop artifacts of provenance ``synthesized`` with their chunks and mentions; entities and edges stay."""
     rows = graph["artifacts"].where(T.json_text(F.col("props"), "$.provenance") == "synthesized")
     if workspace is not None:
         rows = rows.where(F.col("workspace") == workspace)
-    ids = rows.select("id")
+    ids = durable(rows.select("id"), "synthesized")
     gone = graph["chunks"].join(ids.select(F.col("id").alias("artifact_id")).distinct(), "artifact_id", "left_semi").select("id")
-    return graph.with_tables(artifacts=without_ids(graph["artifacts"], ids), chunks=without_ids(graph["chunks"], gone), mentions=without_ids(graph["mentions"], gone, "chunk_id"))
+    return without_rows(without_rows(without_rows(graph, "mentions", gone, "chunk_id"), "chunks", gone), "artifacts", ids)
 
 
 def classify(graph: Graph, types: DataFrame) -> Graph:
@@ -153,11 +188,11 @@ def add_entities(graph: Graph, rows: DataFrame) -> Graph:
     has_origin = F.map_contains_key(T.json_fields(F.col("props")), "origin")
     full = F.when(has_origin, F.col("props")).otherwise(T.with_field(F.col("props"), "origin", F.lit('"extracted"')))
     new = rows.withColumn("props", full).withColumn("id", entity_id(F.col("workspace"), F.col("name"), F.col("etype")))
-    entities = upsert(graph["entities"], conform(new, "entities"), KEYS["entities"], keep=["id"])
-    ids = entities.select("workspace", "name", "etype", F.col("id").alias("entity_id"))
+    graph = upsert_into(graph, "entities", new)
+    ids = graph["entities"].select("workspace", "name", "etype", F.col("id").alias("entity_id"))
     said = new.select("workspace", "name", "etype", F.explode("chunk_ids").alias("chunk_id")).join(ids, ["workspace", "name", "etype"])
     mentions = said.select(F.expr("xxhash64(uuid())").alias("id"), "workspace", "entity_id", "chunk_id", F.col("name").alias("surface"))
-    return graph.with_tables(entities=entities, mentions=graph["mentions"].unionByName(conform(mentions, "mentions")))
+    return graph if said.isEmpty() else graph.append("mentions", mentions)
 
 
 def best_known(entities: DataFrame) -> DataFrame:
@@ -179,7 +214,7 @@ def add_relations(graph: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
         F.expr("xxhash64(uuid())").alias("id"), "workspace", "src_id", "dst_id", F.col("relation").alias("edge_type"), F.lit(0).alias("cross_source"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"),
         F.lit("extracted").alias("method"), F.coalesce(F.col("asserted").cast("int"), F.lit(1)).alias("asserted"), F.coalesce("props", F.lit("{}")).alias("props"), F.current_timestamp().alias("created_at"),
     )
-    return graph.with_tables(edges=graph["edges"].unionByName(conform(good, "edges"))), bad
+    return graph.append("edges", good), bad
 
 
 def fuse(graph: Graph, merges: DataFrame) -> Graph:
@@ -187,6 +222,8 @@ def fuse(graph: Graph, merges: DataFrame) -> Graph:
 
     Edges are neither made distinct nor freed of loops, counts are not added up.
     """
+    if merges.isEmpty():
+        return graph
     entities = graph["entities"]
     none = F.array().cast("array<string>")
     aliases = F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.aliases", "array<string>"), none)
@@ -236,8 +273,7 @@ def assert_binding(graph: Graph, workspace: str, kind: str, key: str, client: tu
     props = F.to_json(F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.lit(found["client"].id).alias("client_artifact"), F.lit(client[1]).alias("client_line"), F.lit(found["server"].id).alias("server_artifact"), F.lit(server[1]).alias("server_line"), F.lit(cross).alias("cross_repo")))
     why = F.to_json(F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.lit(rationale).alias("rationale")))
     row = spark.range(1).select(
-        F.xxhash64(F.lit(workspace), F.lit(kind), F.lit(key), F.lit(found["client"].id), F.lit(found["server"].id), F.lit("llm")).alias("id"), F.lit(workspace).alias("workspace"), F.lit("binding").alias("edge_type"),
+        stable_id(F.lit(workspace), F.lit(kind), F.lit(key), F.lit(found["client"].id), F.lit(found["server"].id), F.lit("llm")).alias("id"), F.lit(workspace).alias("workspace"), F.lit("binding").alias("edge_type"),
         F.lit(0).alias("cross_source"), F.lit(confidence).alias("confidence"), F.lit("llm").alias("method"), why.alias("provenance"), F.lit(1).alias("asserted"), props.alias("props"), F.current_timestamp().alias("created_at"),
     )
-    edges = without_ids(graph["edges"], old).unionByName(conform(row, "edges"))
-    return graph.with_tables(edges=edges), {"ok": True, "kind": kind, "key": key, "cross_repo": cross, "confidence": confidence}
+    return without_rows(graph, "edges", durable(old, "asserted")).append("edges", row), {"ok": True, "kind": kind, "key": key, "cross_repo": cross, "confidence": confidence}

@@ -90,7 +90,22 @@ IGNORED_DIRS = [".git", "node_modules", ".venv", "venv", "dist", "build", "__pyc
 SPEC_SNIFF = r"[\"']?(openapi|swagger)[\"']?\s*:"
 HTTP_METHODS = ["get", "post", "put", "delete", "patch", "head", "options", "trace"]
 
-#: Upper categories to which a lens may anchor its types.
-SPINE = ["agent", "object", "place", "information_object", "event", "role", "quality", "time", "relationship"]
+#: The lenses that are there from the start.
+SEED_LENSES = {
+    "code": {
+        "description": "Repositories: what is defined, what calls it, and how services reach each other.",
+        "extractors": ["ast-callgraph", "structural-binding", "doc-cross-source"],
+        "entity_types": ["function", "class", "struct", "method", "interface", "endpoint", "symbol"],
+        "relation_types": ["calls", "imports", "binding", "connector", "doc_describes_code"],
+        "details": {"aligns": {"endpoint": "schema:EntryPoint"}},
+    },
+    "prose": {
+        "description": "Long texts: the names that recur in them and which of them appear together.",
+        "extractors": [{"use": "recurring-proper-nouns", "etype": "character"}, "co-occurrence", "doc-cross-source", "structural-binding"],
+        "entity_types": ["character", "place", "concept", "theme"],
+        "relation_types": ["co_occurs", "mentions"],
+        "details": {"aligns": {"character": "schema:Person", "place": "schema:Place", "concept": "skos:Concept"}},
+    },
+}
 
 # ---- end of fixed values ----

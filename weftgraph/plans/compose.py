@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import extract, link, resolve, write
 from weftgraph.operators.read import typed_connectors
 from weftgraph.plans import lens as lenses
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, shared_dir
 from weftgraph.sources import files
 from weftgraph.sources.store import Graph, conform
 
@@ -55,11 +55,11 @@ def _surface(graph: Graph, workspace: str, etype: str, origin: str, found: DataF
     graph = write.clear_origin(graph, workspace, origin)
     rows = found.select(F.lit(workspace).alias("workspace"), "name", F.lit(etype).alias("etype"), "props")
     rows = durable(rows.withColumn("id", link.entity_id(F.col("workspace"), F.col("name"), F.col("etype"))), "surfaced")
-    entities = write.insert_new(graph["entities"], conform(rows, "entities"), ["workspace", "name", "etype"])
-    ids = entities.where((F.col("workspace") == workspace) & (F.col("etype") == etype)).select("name", F.col("id").alias("entity_id"))
-    said = mentions.join(rows.select("name"), "name", "left_semi").join(ids, "name").select(F.lit(workspace).alias("workspace"), "entity_id", "chunk_id", "surface")
-    said = said.withColumn("id", F.xxhash64("entity_id", "chunk_id", F.monotonically_increasing_id()))
-    return graph.with_tables(entities=entities, mentions=graph["mentions"].unionByName(conform(said, "mentions"))), rows.count()
+    graph = graph.append("entities", durable(write.missing_rows(graph["entities"], conform(rows, "entities"), ["workspace", "name", "etype"]), "fresh"))
+    ids = graph["entities"].where((F.col("workspace") == workspace) & (F.col("etype") == etype)).select("name", F.col("id").alias("entity_id"))
+    said = mentions.join(rows.select("name"), "name", "left_semi").join(ids, "name").groupBy("entity_id", "chunk_id", "surface").agg(F.count(F.lit(1)).alias("n"))
+    each = said.select(F.lit(workspace).alias("workspace"), "entity_id", "chunk_id", "surface", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    return graph.append("mentions", durable(each.withColumn("id", T.stable_id("entity_id", "chunk_id", "surface", F.lit(origin), "k")), "mentions")), rows.count()
 
 
 @extractor("recurring-proper-nouns")
@@ -103,18 +103,23 @@ def markers(graph: Graph, workspace: str, config: dict) -> tuple[Graph, dict]:
     return graph, {"structural_markers": n}
 
 
-def _replace_edges(graph: Graph, gone: F.Column, new: DataFrame) -> tuple[Graph, int]:
-    """Edges without those that ``gone`` describes, with ``new``."""
-    new = durable(new, "edges")
-    stay = graph["edges"].where(~F.coalesce(gone, F.lit(False)))
-    return graph.with_tables(edges=stay.unionByName(conform(new, "edges"))), new.count()
+def _replace(graph: Graph, table: str, gone: Column, new: DataFrame) -> tuple[Graph, int]:
+    """Rows of a table without those that ``gone`` describes, with ``new``; where there are none of those, only the new are written."""
+    new, is_gone = durable(new, table), F.coalesce(gone, F.lit(False))
+    if not graph[table].where(is_gone).isEmpty():
+        graph = graph.with_tables(**{table: graph[table].where(~is_gone)})
+    return graph.append(table, new), new.count()
+
+
+def _replace_edges(graph: Graph, gone: Column, new: DataFrame) -> tuple[Graph, int]:
+    return _replace(graph, "edges", gone, new)
 
 
 @extractor("co-occurrence")
 def co_occurrence(graph: Graph, workspace: str, config: dict) -> tuple[Graph, dict]:
     pairs = link.cooccurrence(_here(graph, "mentions", workspace), graph["chunks"], int(config.get("min_cooccur", 2)))
     new = pairs.select(
-        F.xxhash64("workspace", "src_id", "dst_id", F.lit("co_occurs")).alias("id"), "workspace", "src_id", "dst_id", F.lit("co_occurs").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence",
+        T.stable_id("workspace", "src_id", "dst_id", F.lit("co_occurs")).alias("id"), "workspace", "src_id", "dst_id", F.lit("co_occurs").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence",
         F.lit("co-occurrence").alias("method"), F.lit(1).alias("asserted"), F.to_json(F.struct("shared", "first_page")).alias("props"),
     )
     graph, n = _replace_edges(graph, (F.col("workspace") == workspace) & (F.col("edge_type") == "co_occurs"), new)
@@ -129,7 +134,7 @@ def doc_cross_source(graph: Graph, workspace: str, config: dict) -> tuple[Graph,
     code = defined.unionByName(link.grounded(*tables, ("code",)).where("etype = 'symbol'").join(defined.select("entity_id").distinct(), "entity_id", "left_anti"))
     links = link.doc_code_links(link.grounded(*tables, ("docs", "pdf")), code)
     new = links.select(
-        F.xxhash64("workspace", "src_id", "dst_id", F.lit("doc_describes_code")).alias("id"), "workspace", "src_id", "dst_id", F.lit("doc_describes_code").alias("edge_type"), F.lit(1).alias("cross_source"), "confidence", "method",
+        T.stable_id("workspace", "src_id", "dst_id", F.lit("doc_describes_code")).alias("id"), "workspace", "src_id", "dst_id", F.lit("doc_describes_code").alias("edge_type"), F.lit(1).alias("cross_source"), "confidence", "method",
         F.to_json(F.struct("name", "code_symbol", "doc_chunk", "code_chunk")).alias("provenance"), F.lit(1).alias("asserted"),
     ).dropDuplicates(["src_id", "dst_id"])
     graph, n = _replace_edges(graph, (F.col("workspace") == workspace) & (F.col("edge_type") == "doc_describes_code"), new)
@@ -137,10 +142,9 @@ def doc_cross_source(graph: Graph, workspace: str, config: dict) -> tuple[Graph,
 
 
 def _sources(graph: Graph, workspace: str) -> DataFrame:
-    """``artifact_id, path, lang, text`` of code artifacts, read again from their files."""
+    """``artifact_id, path, lang, text`` of code artifacts, read again from their files where the tasks are."""
     code = _here(graph, "artifacts", workspace).where("kind = 'code'").select(F.col("id").alias("artifact_id"), "path", "lang")
-    paths = [r.path for r in code.select("path").distinct().toLocalIterator()]
-    return code.join(files.read_texts(graph.spark, paths), "path").where("text is not null")
+    return code.join(files.read_texts(code.select("path").distinct()), "path").where("text is not null")
 
 
 def endpoints(graph: Graph, workspace: str, with_specs: bool = True) -> DataFrame:
@@ -156,7 +160,7 @@ def endpoints(graph: Graph, workspace: str, with_specs: bool = True) -> DataFram
 def structural_binding(graph: Graph, workspace: str, config: dict) -> tuple[Graph, dict]:
     made = link.bind(endpoints(graph, workspace))
     new = made.select(
-        F.xxhash64(*made.columns).alias("id"), "workspace", F.lit("binding").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence", F.lit("structural").alias("method"), F.to_json(F.struct("kind", "key")).alias("provenance"),
+        T.stable_id(*made.columns).alias("id"), "workspace", F.lit("binding").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence", F.lit("structural").alias("method"), F.to_json(F.struct("kind", "key")).alias("provenance"),
         F.lit(1).alias("asserted"), F.to_json(F.struct("kind", "key", "client_artifact", "client_line", "server_artifact", "server_line", "cross_repo")).alias("props"),
     )
     graph, n = _replace_edges(graph, (F.col("workspace") == workspace) & (F.col("edge_type") == "binding") & (F.col("method") == "structural"), new)
@@ -170,10 +174,10 @@ def call_graph(graph: Graph, workspace: str, config: dict) -> tuple[Graph, dict]
     calls = durable(calls, "calls")
     edges, new = link.call_edges(calls, symbols)
     fresh = durable(new.withColumn("etype", F.lit("symbol")), "symbols")
-    new_edges = edges.select(F.xxhash64("src_id", "dst_id", F.monotonically_increasing_id()).alias("id"), "workspace", "src_id", "dst_id", F.lit("calls").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence", "method", F.lit(1).alias("asserted"))
+    new_edges = edges.select("id", "workspace", "src_id", "dst_id", F.lit("calls").alias("edge_type"), F.lit(0).alias("cross_source"), "confidence", "method", F.lit(1).alias("asserted"))
     said = durable(link.call_mentions(calls, symbols.unionByName(fresh.select("workspace", "id", "name")), _here(graph, "chunks", workspace)), "mentions")
-    stay = graph["mentions"].where(~(F.coalesce(F.col("workspace") == workspace, F.lit(False)) & link.is_call_mention()))
-    graph = graph.with_tables(entities=graph["entities"].unionByName(conform(fresh, "entities")), mentions=stay.unionByName(conform(said, "mentions")))
+    graph = graph if fresh.isEmpty() else graph.append("entities", fresh)
+    graph, _ = _replace(graph, "mentions", (F.col("workspace") == workspace) & link.is_call_mention(), said)
     graph, n = _replace_edges(graph, (F.col("workspace") == workspace) & (F.col("edge_type") == "calls") & (F.col("method") == "structural"), new_edges)
     return graph, {"calls": n}
 
@@ -183,7 +187,7 @@ def cross_reference(graph: Graph, workspace: str, config: dict) -> tuple[Graph,
     etype, relation = config.get("etype", "section"), config.get("relation", "references")
     sections = _here(graph, "entities", workspace).where(F.col("etype") == etype).select("workspace", "id", "name")
     refs = extract.cross_references(_texts(graph, workspace), sections)
-    new = refs.select(F.xxhash64("workspace", "src_id", "dst_id", F.lit(relation)).alias("id"), "workspace", "src_id", "dst_id", F.lit(relation).alias("edge_type"), F.lit(0).alias("cross_source"), F.lit(0.7).alias("confidence"), F.lit("cross-reference").alias("method"), F.lit(1).alias("asserted"))
+    new = refs.select(T.stable_id("workspace", "src_id", "dst_id", F.lit(relation)).alias("id"), "workspace", "src_id", "dst_id", F.lit(relation).alias("edge_type"), F.lit(0).alias("cross_source"), F.lit(0.7).alias("confidence"), F.lit("cross-reference").alias("method"), F.lit(1).alias("asserted"))
     graph, n = _replace_edges(graph, (F.col("workspace") == workspace) & (F.col("edge_type") == relation) & (F.col("method") == "cross-reference"), new)
     return graph, {"cross_references": n}
 
@@ -221,60 +225,60 @@ def run_extractors(graph: Graph, workspace: str, items: list) -> tuple[Graph, di
     return graph, counts
 
 
-def ingest(graph: Graph, path: str, workspace: str = "default", lens: str | None = None, provenance: str = "primary") -> tuple[Graph, dict]:
+def ingest(graph: Graph, path: str, workspace: str = "default", lens: str | None = None, provenance: str = "primary", pages_of: Callable[[bytes], list[str] | None] = files.fitz_pages, derived: str | None = None) -> tuple[Graph, dict]:
     """Bring a file or folder into a workspace and run its lens's extractors.
 
     Files are upserted by path: ids stay, chunks, their mentions and connectors are made
-    anew.  Returns the graph and counts per kind, with files that nothing takes as ``skipped``.
+    anew.  Pages of PDF (``pages_of``) are chunks, and files of their own below ``derived``, with rows
+    that lead back to file and page; without a PDF library such files give no artifact.
+    Returns the graph and counts per kind, with files that nothing takes as ``skipped``.
     """
     spark = graph.spark
-    root = str(files.Path(path).expanduser().resolve())
+    root = files.resolve(path)
     graph = write.add_source(write.create_workspace(graph, workspace), workspace, root)
-    paths = files.walk(path)
-    read = durable(files.dispatch(files.read_texts(spark, paths)), "files")
+    paths = durable(files.find(spark, root), "paths")
+    read = durable(files.dispatch(files.read_texts(paths)), "files")
     counts = {"code": 0, "spec": 0, "docs": 0, "pdf": 0, "skipped": 0} | {("skipped" if r.kind is None else r.kind): r.n for r in read.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pages = durable(files.pdf_pages(paths, pages_of), "pages") if counts["pdf"] else spark.createDataFrame([], "path string, page int, pages int, text string")
 
-    taken = read.where("kind is not null").select(F.lit(workspace).alias("workspace"), "path", "kind", "text")
     lang = F.when(F.col("kind") == "code", files.language(F.col("path"))).when(F.col("kind") == "spec", "openapi")
-    rows = taken.withColumn("lang", lang).withColumn("sha", T.sha16(F.col("text"))).withColumn("ingested_at", F.current_timestamp())
-    graph = write.upsert_artifacts(graph, rows.drop("text"))
+    texts = read.where("kind is not null and kind <> 'pdf'").select("path", "kind", lang.alias("lang"), T.sha16(F.col("text")).alias("sha"))
+    paged = pages.select("path", F.lit("pdf").alias("kind"), F.lit(None).cast("string").alias("lang"), T.sha16(F.concat("path", F.col("pages").cast("string"))).alias("sha")).distinct()
+    said = F.to_json(F.struct(F.lit(provenance).alias("provenance")))
+    rows = texts.unionByName(paged).select("*", F.lit(workspace).alias("workspace"), F.lit(lens).alias("lens"), said.alias("props"), F.current_timestamp().alias("ingested_at"))
+    graph = write.stamp_below(write.upsert_artifacts(graph, durable(rows, "artifacts")), workspace, root, lens, provenance)
     ids = graph["artifacts"].where(F.col("workspace") == workspace).select("path", F.col("id").alias("artifact_id"))
-    texts = durable(rows.select("path", "kind", "lang", "text").join(ids, "path"), "texts")
+    texts = durable(read.where("kind is not null and kind <> 'pdf'").select("path", "kind", lang.alias("lang"), "text").join(ids, "path"), "texts")
+    if counts["pdf"]:
+        folder = f"{derived or (graph.home or shared_dir(spark)) + '/derived'}/{workspace}"
+        made = durable(files.derived_pages(pages, folder.removeprefix("file://")).withColumn("workspace", F.lit(workspace)), "derived")
+        graph = write.add_source(graph.append("derived", durable(write.missing_rows(graph["derived"], conform(made, "derived"), ["workspace", "derived_path"]), "fresh")), workspace, folder.removeprefix("file://"))
 
     empty = F.lit(None)
     symbol, mention, endpoint = F.lit("symbol"), F.lit("mention"), F.lit("endpoint")
     code = files.code_chunks(texts.where("kind = 'code'")).select("artifact_id", "ord", "kind", "name", "start_line", "end_line", "text", F.transform(F.array_distinct("symbols"), lambda s: F.struct(s.alias("name"), symbol.alias("etype"), s.alias("surface"))).alias("said"))
     spec = durable(files.spec_chunks(texts.where("kind = 'spec'")), "endpoints")
     specs = spec.select("artifact_id", "ord", F.lit("endpoint").alias("kind"), "name", "start_line", empty.cast("int").alias("end_line"), "text", F.array(F.struct(F.col("route").alias("name"), endpoint.alias("etype"), F.col("route").alias("surface"))).alias("said"))
-    pages = files.pdf_pages(spark, [p for p in paths if p.lower().endswith(".pdf")]).join(ids, "path").select("artifact_id", "page", "text")
-    prose = files.doc_chunks(texts.where("kind = 'docs'")).withColumn("kind", F.lit("section")).unionByName(files.page_chunks(pages).withColumn("kind", F.lit("page")))
+    prose = files.doc_chunks(texts.where("kind = 'docs'")).withColumn("kind", F.lit("section")).unionByName(files.page_chunks(pages.join(ids, "path")).withColumn("kind", F.lit("page")))
     for c in files.registered():
         prose = prose.unionByName(c.chunk(texts.where(F.col("kind") == c.name)).select("artifact_id", "ord", "name", "text", F.lit("section").alias("kind")))
     spans = F.filter(F.transform(F.regexp_extract_all(F.col("text"), F.lit(extract.P.CODE_SPAN), F.lit(1)), lambda s: F.struct(T.span_symbol(s).alias("name"), mention.alias("etype"), s.alias("surface"))), lambda x: x["name"].isNotNull())
     docs = prose.select("artifact_id", "ord", "kind", "name", empty.cast("int").alias("start_line"), empty.cast("int").alias("end_line"), "text", spans.alias("said"))
-    made = code.unionByName(specs).unionByName(docs)
-    made = durable(made.select(F.xxhash64(F.lit(workspace), "artifact_id", "kind", "ord", "name").alias("id"), F.lit(workspace).alias("workspace"), *made.columns), "chunks")
-
-    said = made.select("workspace", F.col("id").alias("chunk_id"), F.inline("said")).dropDuplicates(["chunk_id", "name", "etype"])
-    found = said.select("workspace", "name", "etype", link.entity_id(F.col("workspace"), F.col("name"), F.col("etype")).alias("id")).distinct()
-    entities = write.insert_new(graph["entities"], conform(found, "entities"), ["workspace", "name", "etype"])
-    named = entities.where(F.col("workspace") == workspace).select("name", "etype", F.col("id").alias("entity_id"))
-    mentions = said.join(named, ["name", "etype"]).select(F.xxhash64("entity_id", "chunk_id", F.lit("ingest")).alias("id"), "workspace", "entity_id", "chunk_id", "surface")
+    every = code.unionByName(specs).unionByName(docs)
+    every = durable(every.select(T.stable_id(F.lit(workspace), "artifact_id", "kind", "ord", "name").alias("id"), F.lit(workspace).alias("workspace"), *every.columns), "chunks")
+
+    named = every.select("workspace", F.col("id").alias("chunk_id"), F.inline("said")).groupBy("workspace", "chunk_id", "name", "etype").agg(F.min("surface").alias("surface"))
+    named = durable(named, "said")
+    found = named.select("workspace", "name", "etype", link.entity_id(F.col("workspace"), F.col("name"), F.col("etype")).alias("id")).distinct()
+    graph = graph.append("entities", durable(write.missing_rows(graph["entities"], conform(found, "entities"), ["workspace", "name", "etype"]), "fresh"))
+    known = graph["entities"].where(F.col("workspace") == workspace).select("name", "etype", F.col("id").alias("entity_id"))
+    mentions = named.join(known, ["name", "etype"]).select(T.stable_id("entity_id", "chunk_id", F.lit("ingest")).alias("id"), "workspace", "entity_id", "chunk_id", "surface")
     served = files.spec_connectors(spec)
     wires = served.select(
-        F.xxhash64(F.lit(workspace), *served.columns).alias("id"), F.lit(workspace).alias("workspace"), F.lit("connector").alias("edge_type"), F.lit(0).alias("cross_source"), F.lit("structural").alias("method"), F.lit(1).alias("asserted"),
+        T.stable_id(F.lit(workspace), *served.columns).alias("id"), F.lit(workspace).alias("workspace"), F.lit("connector").alias("edge_type"), F.lit(0).alias("cross_source"), F.lit("structural").alias("method"), F.lit(1).alias("asserted"),
         F.to_json(F.struct("kind", "role", F.col("key").alias("key_norm"), F.col("raw").alias("key_raw"), "artifact_id", "line")).alias("props"),
     )
-    graph = graph.with_tables(
-        chunks=graph["chunks"].unionByName(conform(made, "chunks")), entities=entities, mentions=graph["mentions"].unionByName(conform(mentions, "mentions")),
-        edges=graph["edges"].unionByName(conform(wires, "edges")), artifacts=write.stamp(graph["artifacts"], workspace, root, lens, provenance),
-    )
-    graph = settle(lenses.ensure_seeded(graph))
+    graph = lenses.ensure_seeded(graph.append("chunks", every).append("mentions", mentions).append("edges", wires)).settled()
     items = (lenses.extractors_for(graph, lens) if lens else None) or DEFAULT
     graph, more = run_extractors(graph, workspace, items)
-    return settle(graph), counts | more
-
-
-def settle(graph: Graph) -> Graph:
-    """The graph with every table written, so that later steps do not repeat earlier ones."""
-    return graph.with_tables(**{n: durable(df, n) for n, df in graph.tables.items()})
+    return graph.settled(), counts | more
