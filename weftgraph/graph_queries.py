@@ -477,12 +477,16 @@ def vector_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- search ----
 
-@query()
+@query("""WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM d),
+q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+')) AS term FROM eval_items) WHERE term <> ''),
+tf AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY ALL)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best documents for each test item."""
     docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     items = _table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "text").distinct()
-    return search.bm25(docs, items)
+    return search.bm25(docs, items).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH docs AS (SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM docs),
@@ -579,15 +583,6 @@ def call_sites(spark: SparkSession, sf: str) -> DataFrame:
     return files.call_pairs(code).groupBy("artifact_id", "enclosing", "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def diagrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Flow charts of every workspace's connections."""
-    edges, artifacts = _tables(spark, sf, "edges", "artifacts")
-    root = lambda c: F.array_join(F.slice(F.split(F.translate(c, "\\", "/"), "/"), 1, 4), "/")
-    rows = read.connections(edges, artifacts).withColumn("client_root", root("client_path")).withColumn("server_root", root("server_path"))
-    return render.diagram_lines(rows)
-
-
 @query(f"WITH {_ENT} SELECT id, workspace, name, etype FROM ent")
 def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Entities through JSON and back."""

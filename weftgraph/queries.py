@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph import graph_queries
+from weftgraph import door_queries, graph_queries
 from weftgraph.operators import incremental, orphans
 from weftgraph.plans.durable import new_path
 
@@ -63,7 +63,7 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_report)} | graph_queries.QUERIES
+    return {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_report)} | door_queries.QUERIES
 
 
 _PATH = r"""array_to_string(list_filter(string_split(regexp_replace(replace(path, '\', '/'), '/+', '/', 'g'), '/'), lambda x: x <> '.'), '/')"""
@@ -107,7 +107,7 @@ SELECT table_name, field_name, period, count(*) AS n_refs, count(*) FILTER (NOT
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph_queries.SQL | {
+    return door_queries.SQL | {
         "p1_found": _PENDING + "SELECT artifact_id FROM judged WHERE reason IS NOT NULL",
         "p1_reasons": _PENDING + "SELECT artifact_id, workspace, reason FROM judged WHERE reason IS NOT NULL",
         "p5_found": _ORPHANS + """
