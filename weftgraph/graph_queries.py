@@ -569,11 +569,25 @@ def doc_divisions(spark: SparkSession, sf: str) -> DataFrame:
     return files.doc_chunks(docs).select("artifact_id", "name", F.length(F.replace("text", F.lit("\n"), F.lit(""))).cast("long").alias("n_chars"))
 
 
-@query()
+#: In SQL a specification is one whose lines all look like those of the documents' dialect; what else a parser takes does not occur.
+_SPECS = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE regexp_matches(substr(text, 1, 4096), '""" + _q(P.SPEC_SNIFF) + """')),
+ok AS (SELECT * FROM d WHERE len(list_filter(l, lambda x: NOT regexp_full_match(x, '\\s*(?:[\\w{}/.$''-]+:(?: .*)?|- .*)?'))) = 0),
+r AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM ok), title AS (SELECT doc_id, any_value(trim(substr(line, 10))) AS title FROM r WHERE line LIKE '  title: %' GROUP BY 1),
+m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^  /\\S+:$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+p AS (SELECT doc_id, k, any_value(substr(line, 3, len(line) - 3)) FILTER (regexp_matches(line, '^  /\\S+:$')) AS route,
+  string_agg(upper(trim(line, ' :')), ' ' ORDER BY i) FILTER (regexp_matches(line, '^    (get|put|post|delete|patch|head|options|trace):$')) AS methods,
+  string_agg(CASE WHEN line LIKE '      summary: %' THEN ': ' || trim(substr(line, 16)) ELSE chr(10) || upper(trim(line, ' :')) END, '' ORDER BY i) FILTER (line LIKE '      summary: %' OR regexp_matches(line, '^    [a-z]+:$')) AS said
+  FROM m WHERE k > 0 GROUP BY 1, 2),
+u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, route ORDER BY k DESC) = 1), o AS (SELECT doc_id, route, row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) - 1 AS ord FROM p GROUP BY 1, 2)
+SELECT u.doc_id AS artifact_id, ord, methods || ' ' || route AS name, (SELECT min(i) FROM r WHERE r.doc_id = u.doc_id AND contains(line, route))::INTEGER AS start_line, route, title || ' ' || methods || ' ' || route || said AS text
+FROM u JOIN o USING (doc_id, route) JOIN title ON title.doc_id = u.doc_id"""
+
+
+@query(_SPECS)
 def spec_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     """Endpoints that the OpenAPI documents declare."""
     specs = _table(spark, sf, "documents").where(F.regexp_like(F.substring("text", 1, 4096), F.lit(P.SPEC_SNIFF))).select(F.col("doc_id").alias("artifact_id"), F.concat(F.lit("spec-"), F.col("doc_id"), F.lit(".yaml")).alias("path"), "text")
-    return files.spec_chunks(specs).select("artifact_id", "ord", "name", "start_line", "route")
+    return files.spec_chunks(specs).select("artifact_id", "ord", "name", "start_line", "route", "text")
 
 
 @query()

@@ -13,9 +13,10 @@ from weftgraph import patterns as P
 from weftgraph.functions import text as T
 from weftgraph.operators.extract import current_artifacts, kind_of
 from weftgraph.operators.pairs import BLOCK, group_pairs
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, kept
 
 
+@kept("cooccurrence")
 def cooccurrence(mentions: DataFrame, chunks: DataFrame, min_shared: int = 2, block: int = BLOCK) -> DataFrame:
     """``workspace, src_id, dst_id, shared, first_page, confidence`` of entities that share chunks; src < dst.
 

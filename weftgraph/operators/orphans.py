@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, kept
 from weftgraph.plans.skew import HEAVY_PARTS
 
 KEY = ["target", "key"]
@@ -62,6 +62,7 @@ def missing_keys(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) ->
     return durable(heavy.where("gone").select(*KEY).unionByName(light), "missing"), heavy
 
 
+@kept("orphans")
 def orphan_rows(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) -> DataFrame:
     """``table_name, field_name, row_id``, distinct: every reference that leads nowhere.
 
@@ -76,6 +77,7 @@ def orphan_rows(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) ->
     return hit.select("table_name", "field_name", "row_id").distinct()
 
 
+@kept("orphan_counts")
 def orphan_counts(refs: DataFrame, valid: DataFrame, parts: int = HEAVY_PARTS) -> DataFrame:
     """``table_name, field_name, period, n_refs, n_orphans``: all and broken references per field and period.
 

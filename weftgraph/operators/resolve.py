@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.plans.durable import drop_durable, durable
-from weftgraph.plans.skew import split_join
+from weftgraph.plans.durable import drop_durable, durable, kept
+from weftgraph.plans.skew import heavy_keys, split_join
 
 
 def mention_counts(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -81,27 +81,28 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, block: int = 512)
     return near.withColumn("scope", F.regexp_replace("scope", r"\n[0-9]+\z", ""))
 
 
-def linked_groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+@kept("groups")
+def linked_groups(pairs: DataFrame) -> DataFrame:
     """``id, group_id``: ids linked directly or indirectly by ``a, b``, with the smallest id of each group.
 
     Each round every id takes the smallest label among itself and its neighbours, then its
-    label's label; labels are written after each round.  Ends when nothing changes, after
-    about the logarithm of the longest chain.
+    label's label; labels are written after each round.  Labels only fall, so it ends, after
+    about the logarithm of the longest chain.  An id with very many neighbours is aggregated
+    partly before the shuffle, and its label goes to them by broadcast.
     """
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).where("a <> b")
     both = durable(both.unionByName(both.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "both")
+    heavy = heavy_keys(both, ["w"])
     labels = durable(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("w"), F.first("u")).alias("label")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("id").alias("w"), "label"), "w").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(seen, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+    while True:
+        near = split_join(both, labels.select(F.col("id").alias("w"), "label"), ["w"], heavy=heavy).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        step = durable(labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old")), "step")
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = durable(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
-        drop_durable(labels)
+        new = durable(split_join(step, jump, ["label"], "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
+        drop_durable(labels, step)
         if new.where("label <> old").isEmpty():
-            drop_durable(both)
             return new.select("id", F.col("label").alias("group_id"))
         labels = new.select("id", "label")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def canonical_map(groups: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -3,16 +3,21 @@
 A result that several later stages read, or that one round of an iteration
 hands to the next, is written as a Parquet table into the shared folder that
 ``spark.checkpoint.dir`` names.  Its lineage ends there: losing an executor
-afterwards costs nothing but a read.  Where the setting is missing (tests, a
-laptop) a folder of the machine is used; on a cluster it has to be set.
+afterwards costs nothing but a read.  Where the setting is missing and Spark runs in
+this process only (tests, a laptop) a folder of the machine is used; on a cluster it has
+to be set.  An operator marked :func:`kept` leaves its result there and nothing else.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +27,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 _SETTING = "spark.checkpoint.dir"
+#: Tables made by the operator that is running, if it is one that cleans up.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; set for this session only where it was unset."""
     root = spark.conf.get(_SETTING, None)
     if not root:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set(_SETTING, root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
@@ -43,10 +52,37 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back, with the same columns."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(label: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Make an operator write its result as a durable table and delete those it made on the way."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(*args: object, **how: object) -> DataFrame:
+            outer = _MADE.get()
+            mine: list[str] = []
+            token = _MADE.set(mine)
+            try:
+                result = durable(operator(*args, **how), label)
+            finally:
+                _MADE.reset(token)
+            for path in mine[:-1]:
+                _delete(result.sparkSession, path)
+            if outer is not None:
+                outer.append(mine[-1])
+            return result
+
+        return run
+
+    return wrap
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
