@@ -20,18 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable, sized
+from weftgraph.operators.pairs import array_pairs, group_pairs
+from weftgraph.plans.durable import durable, kept, sized
 from weftgraph.plans.skew import HEAVY_PARTS, split_join
 
 BLOCK = 512
 
 
-def _pairs(items: str) -> F.Column:
-    """Pairs ``a < b`` of a sorted array of distinct items."""
-    xs = F.col(items)
-    return F.flatten(F.transform(xs, lambda x, i: F.transform(F.slice(xs, i + 2, F.size(xs)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-
-
+@kept("pairs")
 def frequent_pairs(rows: DataFrame, min_count: int = 5, min_lift: int = 8, block: int = BLOCK) -> DataFrame:
     """``scope, a, b, n_ab, n_a, n_b, n, lift, conviction`` of pairs with ``n_ab >= min_count`` and ``n_ab * n >= min_lift * n_a * n_b``.
 
@@ -48,20 +44,21 @@ def frequent_pairs(rows: DataFrame, min_count: int = 5, min_lift: int = 8, block
     support = durable(base.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n_item")).join(n, "scope"), "support")
     good = support.where((F.col("n_item") >= min_count) & (F.col("n_item") * min_lift <= F.col("n")))
     heavy = support.where(F.col("n_item") * HEAVY_PARTS > F.lit(total)).select("scope", "item")
-    kept = split_join(base, good.select("scope", "item"), ["scope", "item"], "left_semi", heavy=heavy)
+    held = split_join(base, good.select("scope", "item"), ["scope", "item"], "left_semi", heavy=heavy)
 
     big = size.where(F.col("k") > block)
     n_big = big.count()
-    small = kept if n_big == 0 else kept.join(sized(big, n_big), ["scope", "basket"], "left_anti")
+    small = held if n_big == 0 else held.join(sized(big, n_big), ["scope", "basket"], "left_anti")
     arrays = small.groupBy("scope", "basket").agg(F.sort_array(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
     weighted = arrays.groupBy("scope", "items").agg(F.count(F.lit(1)).alias("weight"))
-    counted = weighted.select("scope", "weight", F.inline(_pairs("items"))).groupBy("scope", "a", "b").agg(F.sum("weight").alias("n_ab"))
+    counted = weighted.select("scope", "weight", F.inline(array_pairs("items"))).groupBy("scope", "a", "b").agg(F.sum("weight").alias("n_ab"))
     if n_big:
-        counted = _with_large(counted, durable(kept.join(sized(big, n_big), ["scope", "basket"]), "large"), min_count, block)
+        counted = _with_large(counted, durable(held.join(sized(big, n_big), ["scope", "basket"]), "large"), min_count, block)
     counted = counted.where(F.col("n_ab") >= min_count)
+    exact = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  # products of counts may exceed a long
     one = good.select("scope", F.col("item").alias("a"), F.col("n_item").alias("n_a"), "n")
     two = good.select("scope", F.col("item").alias("b"), F.col("n_item").alias("n_b"))
-    scored = counted.join(one, ["scope", "a"]).join(two, ["scope", "b"]).where(F.col("n_ab") * F.col("n") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
+    scored = counted.join(one, ["scope", "a"]).join(two, ["scope", "b"]).where(exact("n_ab") * exact("n") >= exact("n_a") * F.col("n_b") * min_lift)
     x = {c: F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n")}
     return scored.select(
         "scope", "a", "b", "n_ab", "n_a", "n_b", "n",
@@ -83,24 +80,6 @@ def _with_large(counted: DataFrame, large: DataFrame, min_count: int, block: int
     often = durable(large.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("scope", "item"), "often")
     if often.isEmpty():
         return known
-    rest = large.join(often, ["scope", "item"], "left_semi")
-    only = _big_pairs(rest, block).groupBy("scope", "a", "b").agg(F.sum("weight").alias("n_ab")).join(candidates, ["scope", "a", "b"], "left_anti")
+    rest = durable(large.join(often, ["scope", "item"], "left_semi").select("scope", "basket", "item"), "rest")
+    only = group_pairs(rest, ["scope", "basket"], "item", block).groupBy("scope", "a", "b").agg(F.count(F.lit(1)).alias("n_ab")).join(candidates, ["scope", "a", "b"], "left_anti")
     return known.unionByName(only)
-
-
-def _big_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Pairs of baskets too large for one array: ``scope, weight, a, b``.
-
-    Items are dealt to ``k / (block / 2)`` blocks by hash and sent to every pair of blocks
-    they belong to, so one group holds about ``block`` items.
-    """
-    blocks = F.ceil(F.col("k") / F.lit(max(1, block // 2))).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("item"), F.col("_blocks")).cast("int"))
-    sent = dealt.select("scope", "basket", "item", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    grouped = sent.groupBy("scope", "basket", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q")).agg(
-        F.collect_list(F.when(F.col("_own") == F.least("_own", "_other"), F.col("item"))).alias("left"),
-        F.collect_list(F.when(F.col("_own") != F.least("_own", "_other"), F.col("item"))).alias("right"),
-    )
-    across = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    within = grouped.where("_p = _q").select("scope", F.lit(1).cast("long").alias("weight"), F.sort_array("left").alias("items")).select("scope", "weight", F.inline(_pairs("items")))
-    return within.unionByName(grouped.where("_p < _q").select("scope", F.lit(1).cast("long").alias("weight"), F.inline(across)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import drop_durable, durable
+from weftgraph.plans.durable import drop_durable, durable, kept
 from weftgraph.plans.skew import split_join
 
 #: Links one task may hold: some 200 MB of arrays while they are merged.
@@ -99,6 +99,7 @@ def _contract(links: DataFrame, bound: int, seed: int) -> DataFrame:
     return final
 
 
+@kept("components")
 def components(edges: DataFrame, bound: int = BOUND, seed: int = 17) -> DataFrame:
     """``entity_id, group_id``: every id at an end of an edge, and the smallest id it is linked to.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, kept
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -178,6 +178,7 @@ def _ends(docs: DataFrame, rests: dict[str, float]) -> list[tuple[str, int, int]
 _PLAN = "source string, target_share double, weight double, source_tokens long, max_repeats int, goal double"
 
 
+@kept("selection")
 def mix(sized_documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1, target_entropy: float | None = None) -> DataFrame:
     """``doc_id, source, tokens, copies``: the documents selected and how often each is used, at most ``max_repeats``.
 

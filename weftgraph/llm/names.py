@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, kept
 
 #: Labels of persons, of organisations, and of either (lower case).
 PERSON_TYPES = {"person", "character", "people", "human", "per"}
@@ -387,6 +387,7 @@ def shortened(full: DataFrame) -> DataFrame:
     return meet.where("brief rlike '^[a-z]+$'").where(is_short).select(F.col("short").alias("rep"), F.lit(0).alias("distance"), "group_id")
 
 
+@kept("groups")
 def name_groups(entities: DataFrame) -> DataFrame:
     """``entity_id, group_id``: persons and organisations of a workspace that have several rows or spellings.
 
@@ -447,6 +448,6 @@ def name_groups(entities: DataFrame) -> DataFrame:
 
 def name_pairs(entities: DataFrame) -> DataFrame:
     """``entity_id_a, entity_id_b``, a < b: the pairs of ids within each group of :func:`name_groups`."""
-    groups = durable(name_groups(entities), "groups")
+    groups = name_groups(entities)
     a, b = groups.select("group_id", F.col("entity_id").alias("entity_id_a")), groups.select("group_id", F.col("entity_id").alias("entity_id_b"))
     return a.join(b, "group_id").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")

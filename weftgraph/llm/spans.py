@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable, sized
+from weftgraph.plans.durable import durable, kept, sized
 from weftgraph.plans.skew import split_join
 
 LEAST = 300
@@ -415,6 +415,7 @@ def _class_pairs(members: DataFrame, windows: DataFrame) -> DataFrame:
     return a.join(b, ["digest", "w1", "w2"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
+@kept("pairs")
 def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id_a, doc_id_b``, a < b, distinct: documents that share at least ``least`` consecutive characters.
 
@@ -455,6 +456,7 @@ def _passages(documents: DataFrame, same: DataFrame, least: int) -> DataFrame:
     return _islands(rows.unionByName(whole).distinct(), ["doc_id"], "start")
 
 
+@kept("passages")
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, start, length``: the maximal stretches of each document that lie in spans it shares with another.
 
@@ -464,6 +466,7 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return _passages(documents, copies(documents, least), least)
 
 
+@kept("coverage")
 def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, n_chars, passages, shared_chars, class_id``: one row per document, how much of it occurs elsewhere.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import durable, kept
 from weftgraph.plans.skew import heavy_keys, split_join
 
 #: Identifiers in one range: the unit in which count arrays are sent and added.
@@ -123,6 +123,7 @@ def count_terms(encoded: DataFrame) -> DataFrame:
     return arrays.groupBy("workspace", "field_name", "range").applyInArrow(_sum_arrays, "workspace string, field_name string, term_id long, occurrences long, records long")
 
 
+@kept("terms")
 def term_table(mentions: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
     """Every term of a workspace with its counts, its workspace's number of records, and its mark.
 
