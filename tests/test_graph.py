@@ -262,3 +262,25 @@ def test_cooccurrence_with_a_third_of_all_rows_in_one_chunk(spark, block):
             for b in items[i + 1 :]:
                 want.setdefault((w, a, b), []).append(c)
     assert got == {k: (len(v), 4 if min(v) == 5 else min(v)) for k, v in want.items() if len(v) > 1}
+
+
+def test_ranks_of_large_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), k, rng.choice([1.0, 1.0, 2.0, None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "q string, id long, score double")
+    order = [F.col("score").desc_nulls_last(), F.col("id").asc()]
+    got = {(r.q, r.id): r["rank"] for r in resolve.ranked(df, ["q"], order, 5).collect()}
+    for q in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        assert [got[(q, r[1])] for r in mine] == list(range(1, len(mine) + 1))
+    assert resolve.ranked(df.limit(0), ["q"], order).count() == 0
+
+
+def test_deep_pages(spark, monkeypatch):
+    chunks_ = spark.createDataFrame([(k, "w" if k % 3 else "v", 1, "section", f"n{k}", "t", None, None) for k in range(60)], "id long, workspace string, artifact_id long, kind string, name string, text string, start_line int, end_line int")
+    arts = spark.createDataFrame([(1, "w", "/a.md", "docs", None, None)], "id long, workspace string, path string, kind string, sha string, ingested_at timestamp")
+    shallow = {tuple(r) for r in read.chunks_page(chunks_, arts, limit=5, offset=10).collect()}
+    monkeypatch.setattr(read, "SHALLOW", 3)
+    assert {tuple(r) for r in read.chunks_page(chunks_, arts, limit=5, offset=10).collect()} == shallow and len(shallow) == 10
+    last = max(r.id for r in read.chunks_page(chunks_, arts, "w", limit=4).collect())
+    assert {r.id for r in read.chunks_page(chunks_, arts, "w", limit=2, after=last).collect()} == {7, 8}

@@ -166,8 +166,8 @@ class Engine:
         row = read.get_chunk(self.graph["chunks"], self.graph["artifacts"], workspace, chunk_id).first()
         return None if row is None else row.asDict()
 
-    def chunks(self, workspace: str, kind: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
-        return read.chunks_page(self.graph["chunks"], self.graph["artifacts"], workspace, kind, limit, offset).orderBy("id")
+    def chunks(self, workspace: str, kind: str | None = None, limit: int = 200, offset: int = 0, after: int | None = None) -> DataFrame:
+        return read.chunks_page(self.graph["chunks"], self.graph["artifacts"], workspace, kind, limit, offset, after).orderBy("id")
 
     # ---- rendering ----
 

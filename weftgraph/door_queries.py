@@ -171,7 +171,7 @@ SELECT query_id, root, id, round(score, 6) AS score, row_number() OVER (PARTITIO
 def per_root_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The three best of each root (label), then the three best of all."""
     vectors, queries = G._vector_queries(spark, sf)
-    hits = search.vector_ranking(vectors, queries, search.EVERY).join(vectors.select("id", F.col("label").alias("root")), "id").select("query_id", "root", "id", "score")
+    hits = search.vector_scores(vectors, queries).join(vectors.select("id", F.col("label").alias("root")), "id").select("query_id", "root", "id", "score")
     return search.per_root(hits, 3).select("query_id", "root", "id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators.extract import current_artifacts, kind_of
-from weftgraph.operators.resolve import keep_top
+from weftgraph.operators.resolve import keep_top, ranked
+
+#: Rows of a page and before it up to which a limit within tasks serves (Spark's own bound).
+SHALLOW = 1000
 
 
 def scoped(df: DataFrame, workspace: str | None) -> DataFrame:
@@ -45,19 +48,21 @@ def located(chunks: DataFrame, artifacts: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["id"]).join(arts, "artifact_id")
 
 
-def chunks_page(chunks: DataFrame, artifacts: DataFrame, workspace: str | None = None, kind: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
-    """``workspace, id, kind, name, start_line, end_line, path, artifact_kind, preview``: a page of each workspace's chunks by id; previews of 400 characters."""
-    rows = scoped(located(chunks, artifacts), workspace)
+def chunks_page(chunks: DataFrame, artifacts: DataFrame, workspace: str | None = None, kind: str | None = None, limit: int = 200, offset: int = 0, after: int | None = None) -> DataFrame:
+    """``workspace, id, kind, name, start_line, end_line, path, artifact_kind, preview``: a page of each workspace's chunks by id; previews of 400 characters.
+
+    ``after`` is the last id of the page before; it costs no more for late pages, while an
+    ``offset`` has to count.  Deep offsets are counted in ranges, not in one task.
+    """
+    rows = scoped(chunks, workspace)
+    rows = located(rows if after is None else rows.where(F.col("id") > after), artifacts)
     if kind is not None:
         rows = rows.where(F.col("artifact_kind") == kind)
-    columns = ["workspace", "id", "kind", "name", "start_line", "end_line", "path", "artifact_kind", F.substring("text", 1, 400).alias("preview")]
-    return keep_top(rows.select(*columns), ["workspace"], [F.col("id")], offset + limit).where(F.col("rank") > offset).drop("rank")
-
-
-def chunks_after(chunks: DataFrame, artifacts: DataFrame, workspace: str, last_id: int | None, limit: int = 200) -> DataFrame:
-    """The next page by key instead of offset: the first ``limit`` chunks after ``last_id``."""
-    rows = scoped(chunks, workspace) if last_id is None else scoped(chunks, workspace).where(F.col("id") > last_id)
-    return located(rows, artifacts).orderBy("id").limit(limit)
+    page = rows.select("workspace", "id", "kind", "name", "start_line", "end_line", "path", "artifact_kind", F.substring("text", 1, 400).alias("preview"))
+    if offset + limit <= SHALLOW:
+        return keep_top(page, ["workspace"], [F.col("id")], offset + limit).where(F.col("rank") > offset).drop("rank")
+    places = ranked(rows.select("workspace", "id"), ["workspace"], [F.col("id")]).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).select("id")
+    return page.join(places, "id", "left_semi").select(*page.columns)
 
 
 def get_chunk(chunks: DataFrame, artifacts: DataFrame, workspace: str, chunk_id: int) -> DataFrame:

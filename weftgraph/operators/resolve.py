@@ -130,3 +130,19 @@ def fuse_aliases(entities: DataFrame, merges: DataFrame) -> DataFrame:
 def keep_top(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each key in the given order, with ``rank``."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, parts: int | None = None) -> DataFrame:
+    """``df`` with ``rank`` of every row within its key, however many rows a key has.
+
+    Rows are dealt to ranges of key and order and written with the number of their range;
+    a rank is the rows of the key in earlier ranges, of which there are few, and the place in its own.
+    """
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = durable(df.repartitionByRange(parts, *[F.col(k).asc() for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counted = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n"))
+    before = counted.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), "_before")
+    met = placed.join(before, [*(F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)), F.col("_range") == F.col("_of")]).select(*placed.columns, "_before")
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return met.withColumn("rank", (own + F.col("_before")).cast("long")).drop("_range", "_before")
