@@ -289,3 +289,12 @@ def test_walk_in_tasks(spark, tmp_path, monkeypatch):
     assert set(files.walk(tmp_path)) == want == {r.path for r in files.find(spark, tmp_path).collect()}
     assert {r.path for r in files.find(spark, f"file://{tmp_path}").collect()} == {f"file://{w}" for w in want}
     assert files.find(spark, tmp_path / "nothing").count() == 0 and [r.path for r in files.find(spark, tmp_path / "top.md").collect()] == [str(tmp_path / "top.md")]
+
+
+def test_colliding_ids_are_told_apart(spark):
+    old = spark.createDataFrame([(1, "w", "a", "t"), (2, "w", "b", "t")], "id long, workspace string, name string, etype string")
+    new = spark.createDataFrame([(1, "w", "c", "t"), (7, "w", "d", "t"), (7, "w", "e", None), (7, "v", "e", None), (8, None, "f", "t")], old.schema)
+    got = {r.name + (r.workspace or ""): r.id for r in write.free_ids(old, new, ["workspace", "name", "etype"]).collect()}
+    assert len(set(got.values())) == 5 and not {1, 2} & set(got.values()) and got["f"] == 8 and 7 in got.values()
+    assert {r.name + (r.workspace or ""): r.id for r in write.free_ids(old, new.repartition(3), ["workspace", "name", "etype"]).collect()} == got
+    assert write.free_ids(old, new.limit(0), ["workspace", "name", "etype"]).count() == 0

@@ -34,13 +34,29 @@ def missing_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str])
     return fresh.join(old, _all_equal(keys), "left_anti")
 
 
+def free_ids(existing: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``fresh`` (distinct keys, new to ``existing``), written, with ids that no other row has.
+
+    Ids are hashes; a row whose id another key holds, in either table, gets the hash of id and key instead.
+    """
+    key = F.struct(*keys)
+    while True:
+        fresh = durable(fresh, "fresh")
+        first = fresh.groupBy("id").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        marked = fresh.join(first, "id", "left").join(existing.select("id", F.lit(True).alias("_taken")).distinct(), "id", "left")
+        clash = F.coalesce(F.col("_taken"), F.col("_first").isNotNull() & ~key.eqNullSafe(F.col("_first")), F.lit(False))
+        if marked.where(clash).isEmpty():
+            return fresh
+        fresh = marked.withColumn("id", F.when(clash, stable_id("id", *keys)).otherwise(F.col("id"))).select(*fresh.columns)
+
+
 def upsert_into(graph: Graph, table: str, incoming: DataFrame, keep: Sequence[str] = ("id",)) -> Graph:
     """The graph with rows upserted by the table's key; where no key is there yet they are only appended."""
     keys = KEYS[table]
     rows = conform(incoming, table)
     known = graph[table].alias("n").join(rows.select(*keys).distinct().alias("o"), _all_equal(keys), "left_semi")
     if known.isEmpty():
-        return graph.append(table, rows.dropDuplicates(list(keys)))
+        return graph.append(table, free_ids(graph[table], rows.dropDuplicates(list(keys)), keys))
     return graph.with_tables(**{table: upsert(graph[table], rows, keys, keep=keep)})
 
 
@@ -124,7 +140,7 @@ def upsert_artifacts(graph: Graph, incoming: DataFrame) -> Graph:
     keys = KEYS["artifacts"]
     hit = durable(graph["artifacts"].alias("n").join(rows.select(*keys).distinct().alias("o"), _all_equal(keys), "left_semi").select("id").distinct(), "replaced")
     if hit.isEmpty():
-        return graph.append("artifacts", rows.dropDuplicates(list(keys)))
+        return graph.append("artifacts", free_ids(graph["artifacts"], conform(rows, "artifacts").dropDuplicates(list(keys)), keys))
     gone = durable(graph["chunks"].join(hit.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi").select("id").distinct(), "gone")
     at = T.json_int(F.col("props"), "$.artifact_id")
     connectors = durable(graph["edges"].where("edge_type = 'connector'").select("id", at.alias("_a")).join(hit.select(F.col("id").alias("_a")), "_a", "left_semi").select("id"), "connectors")

@@ -17,6 +17,7 @@ from weftgraph.operators import extract, link, resolve, write
 from weftgraph.operators.read import typed_connectors
 from weftgraph.plans import lens as lenses
 from weftgraph.plans.durable import durable, shared_dir
+from weftgraph.schema import KEYS
 from weftgraph.sources import files
 from weftgraph.sources.store import Graph, conform
 
@@ -55,7 +56,7 @@ def _surface(graph: Graph, workspace: str, etype: str, origin: str, found: DataF
     graph = write.clear_origin(graph, workspace, origin)
     rows = found.select(F.lit(workspace).alias("workspace"), "name", F.lit(etype).alias("etype"), "props")
     rows = durable(rows.withColumn("id", link.entity_id(F.col("workspace"), F.col("name"), F.col("etype"))), "surfaced")
-    graph = graph.append("entities", durable(write.missing_rows(graph["entities"], conform(rows, "entities"), ["workspace", "name", "etype"]), "fresh"))
+    graph = graph.append("entities", write.free_ids(graph["entities"], write.missing_rows(graph["entities"], conform(rows, "entities"), KEYS["entities"]), KEYS["entities"]))
     ids = graph["entities"].where((F.col("workspace") == workspace) & (F.col("etype") == etype)).select("name", F.col("id").alias("entity_id"))
     said = mentions.join(rows.select("name"), "name", "left_semi").join(ids, "name").groupBy("entity_id", "chunk_id", "surface").agg(F.count(F.lit(1)).alias("n"))
     each = said.select(F.lit(workspace).alias("workspace"), "entity_id", "chunk_id", "surface", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
@@ -265,12 +266,13 @@ def ingest(graph: Graph, path: str, workspace: str = "default", lens: str | None
     spans = F.filter(F.transform(F.regexp_extract_all(F.col("text"), F.lit(extract.P.CODE_SPAN), F.lit(1)), lambda s: F.struct(T.span_symbol(s).alias("name"), mention.alias("etype"), s.alias("surface"))), lambda x: x["name"].isNotNull())
     docs = prose.select("artifact_id", "ord", "kind", "name", empty.cast("int").alias("start_line"), empty.cast("int").alias("end_line"), "text", spans.alias("said"))
     every = code.unionByName(specs).unionByName(docs)
-    every = durable(every.select(T.stable_id(F.lit(workspace), "artifact_id", "kind", "ord", "name").alias("id"), F.lit(workspace).alias("workspace"), *every.columns), "chunks")
+    every = every.select(T.stable_id(F.lit(workspace), "artifact_id", "kind", "ord", "name").alias("id"), F.lit(workspace).alias("workspace"), *every.columns)
+    every = write.free_ids(graph["chunks"], every, ["artifact_id", "kind", "ord", "name"])
 
     named = every.select("workspace", F.col("id").alias("chunk_id"), F.inline("said")).groupBy("workspace", "chunk_id", "name", "etype").agg(F.min("surface").alias("surface"))
     named = durable(named, "said")
     found = named.select("workspace", "name", "etype", link.entity_id(F.col("workspace"), F.col("name"), F.col("etype")).alias("id")).distinct()
-    graph = graph.append("entities", durable(write.missing_rows(graph["entities"], conform(found, "entities"), ["workspace", "name", "etype"]), "fresh"))
+    graph = graph.append("entities", write.free_ids(graph["entities"], write.missing_rows(graph["entities"], conform(found, "entities"), KEYS["entities"]), KEYS["entities"]))
     known = graph["entities"].where(F.col("workspace") == workspace).select("name", "etype", F.col("id").alias("entity_id"))
     mentions = named.join(known, ["name", "etype"]).select(T.stable_id("entity_id", "chunk_id", F.lit("ingest")).alias("id"), "workspace", "entity_id", "chunk_id", "surface")
     served = files.spec_connectors(spec)
