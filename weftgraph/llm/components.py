@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import drop_durable, durable, kept
+from weftgraph.plans.durable import drop_durable, durable
 from weftgraph.plans.skew import split_join
 
 #: Links one task may hold: some 200 MB of arrays while they are merged.
@@ -99,7 +99,6 @@ def _contract(links: DataFrame, bound: int, seed: int) -> DataFrame:
     return final
 
 
-@kept("components")
 def components(edges: DataFrame, bound: int = BOUND, seed: int = 17) -> DataFrame:
     """``entity_id, group_id``: every id at an end of an edge, and the smallest id it is linked to.
 
@@ -120,5 +119,6 @@ def components(edges: DataFrame, bound: int = BOUND, seed: int = 17) -> DataFram
         some = _contract(links, bound, seed)
         smallest = some.groupBy("root").agg(F.min(F.least("id", "root")).alias("group_id"))
         labels = durable(split_join(some, smallest, ["root"]).where("id <> group_id").select("id", F.col("group_id").alias("root")), "labels")
+    drop_durable(links)
     roots = labels.select("root").distinct()
     return labels.select(F.col("id").alias("entity_id"), F.col("root").alias("group_id")).unionByName(roots.select(F.col("root").alias("entity_id"), F.col("root").alias("group_id")))
