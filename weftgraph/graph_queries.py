@@ -288,6 +288,19 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("workspace"), F.col("doc_id").alias("chunk_id"), F.col("title").alias("name"), masked.alias("text"))
 
 
+@query(f"WITH {_DOCS}, {_DEFINED}")
+def defined_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that the documents of a source define."""
+    return extract.defined_term_entities(_documents(spark, sf))
+
+
+@query(f"""WITH {_DOCS} SELECT DISTINCT chunk_id AS doc_id, upper(unnest(regexp_extract_all(text, '{_q(P.CROSS_REFERENCE)}', 1))) AS number FROM texts""")
+def section_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers of the sections that each document refers to."""
+    numbers = F.regexp_extract_all("text", F.lit(P.CROSS_REFERENCE), F.lit(1))
+    return _documents(spark, sf).where("text is not null").select(F.col("chunk_id").alias("doc_id"), F.explode(F.array_distinct(F.transform(numbers, lambda n: F.upper(n)))).alias("number"))
+
+
 @query(f"""WITH {_DOCS}, {_matches_sql([p for g in P.MARKERS.values() for p in g])}, marks AS (
   SELECT workspace, chunk_id, form, pos, trim(regexp_replace(part, '\\s+', ' ', 'g')) AS name, len(substr(text, 1, position(whole IN text) - 1)) - len(replace(substr(text, 1, position(whole IN text) - 1), chr(10), '')) + 1 AS line FROM found)
 SELECT workspace, name, count(*) AS mentions, arg_min(line, struct_pack(c := chunk_id, f := form, p := pos)) AS line FROM marks WHERE len(name) BETWEEN 1 AND 90 GROUP BY ALL""")
