@@ -13,10 +13,8 @@ from weftgraph import patterns as P
 from weftgraph.functions import text as T
 from weftgraph.operators.extract import current_artifacts, kind_of
 from weftgraph.operators.pairs import BLOCK, group_pairs
-from weftgraph.plans.durable import durable, kept
 
 
-@kept("cooccurrence")
 def cooccurrence(mentions: DataFrame, chunks: DataFrame, min_shared: int = 2, block: int = BLOCK) -> DataFrame:
     """``workspace, src_id, dst_id, shared, first_page, confidence`` of entities that share chunks; src < dst.
 
@@ -24,12 +22,12 @@ def cooccurrence(mentions: DataFrame, chunks: DataFrame, min_shared: int = 2, bl
     once per chunk.  first_page is the page of the first shared chunk (by id), which may
     have none; confidence is ``min(1, 0.4 + 0.1 * shared)``.
 
-    The distinct mentions are written once; each chunk's pairs are made in its own row, or in
-    blocks where it has many entities, and are counted partly before the shuffle.
+    Each chunk's pairs are made in its own row, or in blocks where it has many mentions, and are
+    counted partly before the shuffle.
     """
     pages = chunks.where("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(T.page_of(F.col("name"))).alias("page"))
-    base = durable(mentions.select("workspace", "chunk_id", "entity_id").dropna().distinct(), "said")
-    pairs = group_pairs(base, ["workspace", "chunk_id"], "entity_id", block, pages.select("chunk_id"))
+    said = mentions.select("workspace", "chunk_id", "entity_id").dropna()
+    pairs = group_pairs(said, ["workspace", "chunk_id"], "entity_id", block, pages.select("chunk_id"))
     counted = pairs.groupBy("workspace", F.col("a").alias("src_id"), F.col("b").alias("dst_id")).agg(F.count(F.lit(1)).alias("shared"), F.min("chunk_id").alias("chunk_id")).where(F.col("shared") >= min_shared)
     placed = counted.join(pages.where("page is not null"), "chunk_id", "left")
     return placed.select("workspace", "src_id", "dst_id", "shared", F.col("page").alias("first_page"), F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.1) * F.col("shared")).alias("confidence"))
